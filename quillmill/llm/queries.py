@@ -3,12 +3,26 @@
 from __future__ import annotations
 
 from quillmill.llm.bpe import op1_bpe
+from quillmill.llm.html import op6_html
+from quillmill.llm.jaccard import op7_jaccard
+from quillmill.llm.linededup import op8_linededup
+from quillmill.llm.lm import op2_lm
 from quillmill.llm.media import op10_media
+from quillmill.llm.neardup import op3_embeddings
+from quillmill.llm.packing import op5_packing
 from quillmill.llm.secrets import op4_secrets
+from quillmill.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_lm": op2_lm,
+    "op3_embeddings": op3_embeddings,
     "op4_secrets": op4_secrets,
+    "op5_packing": op5_packing,
+    "op6_html": op6_html,
+    "op7_jaccard": op7_jaccard,
+    "op8_linededup": op8_linededup,
+    "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {}
