@@ -98,7 +98,12 @@ class Machine:
     def __init__(self, decay, index, value, bias, layer):
         self.decay, self.index, self.value, self.bias, self.layer = decay, index, value, bias, layer
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("kernel", "table")}
+
     def start(self):
+        if "table" in self.__dict__:
+            return self
         self.kernel = Kernel(self.decay)
         self.table = np.zeros(BASE**3 + BASE**4, np.float32)
         self.table[self.index] = self.value
