@@ -45,12 +45,13 @@ ENDS = {
     "rt": (frozenset(("rt", "rp")), frozenset(("ruby",))),
     "rp": (frozenset(("rt", "rp")), frozenset(("ruby",))),
 }
+INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark nobr q s samp small strike strong sub sup tt u var".split())
 SCOPES = frozenset(("table", "td", "th", "caption", "html", "template", "button"))
 
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
 HIDES = re.compile(r"""(?:^|[\s"'/])hidden(?!\s*=\s*["']?until-found)(?=[\s=/]|$)""", re.I)
 STYLE = re.compile(r"""(?:^|[\s"'/])style\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S+))""", re.I)
-WHITE = " \t\n\r\f"
+RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -106,7 +107,8 @@ def build(html: str) -> Node:
             if tag == "br":
                 stack[-1].kids.append(Node("br"))
             elif open_tags.get(tag):
-                if d := find((tag,), () if tag in SCOPES or tag in ("tr", "body") else SCOPES):
+                d = find((tag,), () if tag in SCOPES or tag in ("tr", "body") else SCOPES)
+                if d and not (tag in INLINE and any(x.tag in BLOCKS for x in stack[d:])):  # a mark that ends within a block doesn't end the block
                     pop_to(d)
             elif tag == "p":
                 stack[-1].kids.append(Node("p"))
@@ -128,8 +130,8 @@ def build(html: str) -> Node:
         if tag in VOID:
             continue
         if tag in RAW:
-            end = n if tag == "plaintext" else html.lower().find(f"</{tag}", pos) if not html.isascii() else _find_end(html, tag, pos)
-            end = n if end < 0 else end
+            close = None if tag == "plaintext" else RAW_END[tag].search(html, pos)
+            end = close.start() if close else n
             if end > pos:
                 node.kids.append(html[pos:end])
             close = html.find(">", end)
@@ -140,11 +142,6 @@ def build(html: str) -> Node:
     return root
 
 
-def _find_end(html: str, tag: str, pos: int) -> int:
-    m = re.compile(f"</{tag}", re.I).search(html, pos)
-    return m.start() if m else -1
-
-
 def hidden(node: Node) -> bool:
     tag, attrs = node.tag, node.attrs
     if tag in UNSEEN:

@@ -5,8 +5,9 @@ and 6; one that spans s characters weighs decay**s, and kernels are normalised.
 span, so "idi.ot" stays near "idiot". Letters that stand alone in a row ("i d i o t") are read as one token.
 
 Training: labelled rows' sentences. A sentence of a clean document is clean in every token; one of a toxic document
-holds at least one toxic token, so the machine picks the witnesses itself (multiple-instance training): the first by
-document frequencies, later ones by its own decisions, against random and the hardest clean tokens. Landmarks are drawn
+holds at least one toxic token, so the machine picks the witnesses itself (multiple-instance training): those that
+document frequencies make sure first, then its own choice where a document has none, against random and the hardest
+clean tokens. Landmarks are drawn
 from both; the machine is solved in the landmarks' space (squared hinge, Newton steps). Its decision is linear in the
 subsequences, so the landmarks are folded into one weight for each subsequence, and scoring a token is a look-up.
 A document's score is logistic in its two largest decisions and the sum of its positive ones.
@@ -20,9 +21,11 @@ kinds, the score is the share of toxic labels (0 where there is none).
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,17 +165,33 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60)
     return w
 
 
-def first_witnesses(bags: list[list[set]], toxic: np.ndarray) -> dict[str, float]:
-    """How far each token, or the best of its stems, is commoner in toxic documents: log odds by document."""
-    def stems(t):
-        return {t, *(t[:k] + "*" for k in (3, 4, 5) if len(t) > k)}
+def stems(token: str) -> set[str]:
+    return {*(token[:k] + "*" for k in (3, 4, 5) if len(token) > k)}
 
-    per = (Counter(), Counter())
+
+def first_witnesses(bags: list[list[set]], toxic: np.ndarray) -> set[str]:
+    """Tokens of toxic documents whose word or stem is commoner there than chance among so many stems allows: the log
+    likelihood of its documents' labels, against their overall share, exceeds the log of the number of stems."""
+    # copies count once: documents of one kind with the same smallest hash of a token are taken for copies
+    seen: dict[tuple, set] = {}
     for sentences, y in zip(bags, toxic, strict=True):
-        per[int(y)].update({s for bag in sentences for t in bag for s in stems(t)})
-    n1, n0 = max(1, toxic.sum()), max(1, (1 - toxic).sum())
-    odds = {s: np.log((c + 0.1) / n1) - np.log((per[0][s] + 0.5 * max(1, n0 / n1) ** 0.5) / n0) for s, c in per[1].items() if c > 1}
-    return {t: max((odds.get(s, -9) for s in stems(t))) for sentences, y in zip(bags, toxic, strict=True) if y for bag in sentences for t in bag}
+        words = {t for bag in sentences for t in bag}
+        if words:
+            seen.setdefault((int(y), min(zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in words)), set()).update(words)
+    per = (Counter(), Counter())
+    for (y, _), words in seen.items():
+        per[y].update(words)
+    share, least = max(1e-9, sum(y for y, _ in seen) / max(1, len(seen))), np.log(len(per[0].keys() | per[1].keys()) + 1)
+
+    def strength(s: str) -> float:
+        a, b = per[1][s], per[0][s]
+        return a * np.log(a / (a + b) / share) + (b * np.log(b / (a + b) / (1 - share)) if b else 0) if a / (a + b) > max(share, 0.7) else 0
+
+    sure = {s for s, n in per[1].items() if n > 1 and strength(s) >= least}
+    for (y, _), words in seen.items():  # stems of the other words: a sure word speaks for itself alone
+        per[y].update({s for t in words - sure for s in stems(t)})
+    sure |= {s for s, n in per[1].items() if s.endswith("*") and n > 1 and strength(s) >= least}
+    return {t for sentences, y in zip(bags, toxic, strict=True) if y for bag in sentences for t in bag if t in sure or not sure.isdisjoint(stems(t))}
 
 
 def train(texts: list[str], toxic: list[int], landmarks: int = 160, rounds: int = 3, decay: float = 0.7, seed: int = 11) -> Machine:
@@ -189,17 +208,20 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, rounds: int
     yi = y[fit]
     clean = sorted({t for b, v in zip(inner, yi, strict=True) if not v for s in b for t in s})
     known_clean = set(clean)
-    value = first_witnesses(inner, yi)
+    sure = first_witnesses(inner, yi) - known_clean
     kernel, machine = Kernel(decay), None
     for turn in range(rounds):
-        good = Counter()
-        for b, v in zip(inner, yi, strict=True):
-            if v:
-                best = sorted(((value.get(t, -9.0), t) for s in b for t in s if t not in known_clean), reverse=True)[:4]
-                good.update(t for d, t in best if d > (1.0 if not turn else 0.05))
+        good = set(sure)
+        if machine is not None:  # documents without a sure token: the machine's own choice
+            for b, v in zip(inner, yi, strict=True):
+                if v and not any(sure & s for s in b):
+                    names = sorted({t for s in b for t in s} - known_clean)
+                    d = machine.decide(names)
+                    good.update(names[i] for i in np.argsort(-d, kind="stable")[:1] if d[i] > 0.2)
         good = sorted(good)
         if not good:
             break
+        good += sorted({t[:k] + mark + t[k:] for t in good for k in (len(t) // 3, 2 * len(t) // 3) if k for mark in ".*"} - known_clean - set(good))  # written with a sign between
         some = [clean[i] for i in rng.permutation(len(clean))[: max(3000, len(good))]]
         if machine is not None:
             d = machine.start().decide(clean)
@@ -233,8 +255,6 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, rounds: int
             table_[ids] += (a * v).astype(np.float32)
         index = np.flatnonzero(table_)
         machine = Machine(decay, index, table_[index], float(w[-1]), np.zeros(4)).start()
-        every = sorted({t for b, v in zip(inner, yi, strict=True) if v for s in b for t in s})
-        value = dict(zip(every, machine.decide(every), strict=True))
     if machine is None:
         return Machine(decay, np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0, np.array([np.log(y.mean() / (1 - y.mean())), 0, 0, 0]))
     held = np.flatnonzero(~fit) if not fit.all() else np.arange(len(y))
@@ -278,8 +298,6 @@ def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
 
 def score_column(docs: DataFrame, machine: Machine, text_col: str = "text"):
     """The score as a column, for filters that keep all of a row: an Arrow-batched scalar function."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         machine.start()
