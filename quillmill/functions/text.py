@@ -28,8 +28,10 @@ def clean_controls(c: str | Column) -> Column:
 def stride_sample(c: str | Column, most: int = 65_536) -> Column:
     """The text, or every k-th character of a longer one so that at most `most` are left."""
     t = text_of(c)
-    k = F.ceil(F.length(t) / most)
-    return F.when(F.length(t) <= most, t).otherwise(F.array_join(F.filter(F.split(t, ""), lambda _, i: i % k == 0), ""))
+    # the stride is bound to a name of its own: within the filter it would be taken anew for every character
+    bound = F.array(F.struct(F.ceil(F.length(t) / most).alias("k"), F.split(t, "").alias("chars")))
+    each = F.transform(bound, lambda b: F.array_join(F.filter(b["chars"], lambda _, i: i % b["k"] == 0), ""))
+    return F.when(F.length(t) <= most, t).otherwise(F.get(each, F.lit(0)))
 
 
 def file_digest(content: str | Column, whole: int = 8 << 20, head: int = 1 << 20) -> Column:
