@@ -21,6 +21,7 @@ kinds, the score is the share of toxic labels (0 where there is none).
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -115,6 +116,8 @@ class Machine:
     def decide(self, tokens: list[str]) -> np.ndarray:
         if not tokens:
             return np.zeros(0)
+        if len(tokens) > 5000:  # a token has about a hundred subsequences
+            return np.concatenate([self.decide(tokens[i : i + 5000]) for i in range(0, len(tokens), 5000)])
         who, feature, weight = self.kernel.features(tokens)
         top = np.bincount(who, self.table[feature] * weight, len(tokens))
         least = np.sqrt(np.bincount(who, weight.astype(np.float64) ** 2, len(tokens)))
@@ -201,7 +204,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, rounds: int
         share = float(y.mean()) if len(y) else 0.0
         z = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Machine(decay, np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0, np.array([z, 0, 0, 0]))
-    bags = [[b for s in SENTENCE.split(t.lower()) if (b := tokens_of(s))] for t in texts]
+    bags = [[frozenset(map(sys.intern, b)) for s in SENTENCE.split(t.lower()) if (b := tokens_of(s))] for t in texts]
     fold = rng.permutation(len(y)) % 3
     fit = (fold > 0) if y.sum() >= 60 else np.ones(len(y), bool)
     inner = [b for b, f in zip(bags, fit, strict=True) if f]
@@ -285,9 +288,7 @@ def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
             if len(known) + len(fresh) > keep_tokens:
                 known.clear()
                 fresh = list({t for b in bags for t in b})
-            for i in range(0, len(fresh), 20_000):
-                part = fresh[i : i + 20_000]
-                known.update(zip(part, machine.decide(part).tolist(), strict=True))
+            known.update(zip(fresh, machine.decide(fresh).tolist(), strict=True))
             found = [np.array([d for t in b if (d := known[t]) > 0]) for b in bags]
             return [ids, machine.score([np.sort(f) for f in found])]
 
@@ -303,15 +304,13 @@ def score_column(docs: DataFrame, machine: Machine, text_col: str = "text"):
         machine.start()
         bags = [sorted(tokens_of(t)) if t else [] for t in texts]
         every = list({t for b in bags for t in b})
-        known: dict[str, float] = {}
-        for i in range(0, len(every), 20_000):
-            known.update(zip(every[i : i + 20_000], machine.decide(every[i : i + 20_000]).tolist(), strict=True))
+        known = dict(zip(every, machine.decide(every).tolist(), strict=True))
         return pd.Series(machine.score([np.sort(np.array([d for t in b if (d := known[t]) > 0])) for b in bags]))
 
     return score(F.col(text_col))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     return train(*labelled_rows(docs, labels, train_rows, id_col, text_col))
 
 
