@@ -20,6 +20,7 @@ kinds, the score is the share of toxic labels (0 where there is none).
 
 from __future__ import annotations
 
+import heapq
 import re
 import sys
 import zlib
@@ -175,23 +176,23 @@ def stems(token: str) -> set[str]:
 def first_witnesses(bags: list[list[set]], toxic: np.ndarray) -> set[str]:
     """Tokens of toxic documents whose word or stem is commoner there than chance among so many stems allows: the log
     likelihood of its documents' labels, against their overall share, exceeds the log of the number of stems."""
-    # copies count once: documents of one kind with the same smallest hash of a token are taken for copies
+    # copies count once: documents of one kind with the same three smallest hashes of tokens are taken for copies
     seen: dict[tuple, set] = {}
     for sentences, y in zip(bags, toxic, strict=True):
         words = {t for bag in sentences for t in bag}
         if words:
-            seen.setdefault((int(y), min(zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in words)), set()).update(words)
+            seen.setdefault((int(y), *heapq.nsmallest(3, (zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in words))), set()).update(words)
     per = (Counter(), Counter())
-    for (y, _), words in seen.items():
+    for (y, *_), words in seen.items():
         per[y].update(words)
-    share, least = max(1e-9, sum(y for y, _ in seen) / max(1, len(seen))), np.log(len(per[0].keys() | per[1].keys()) + 1)
+    share, least = max(1e-9, sum(k[0] for k in seen) / max(1, len(seen))), np.log(len(per[0].keys() | per[1].keys()) + 1)
 
     def strength(s: str) -> float:
         a, b = per[1][s], per[0][s]
         return a * np.log(a / (a + b) / share) + (b * np.log(b / (a + b) / (1 - share)) if b else 0) if a / (a + b) > max(share, 0.7) else 0
 
     sure = {s for s, n in per[1].items() if n > 1 and strength(s) >= least}
-    for (y, _), words in seen.items():  # stems of the other words: a sure word speaks for itself alone
+    for (y, *_), words in seen.items():  # stems of the other words: a sure word speaks for itself alone
         per[y].update({s for t in words - sure for s in stems(t)})
     sure |= {s for s, n in per[1].items() if s.endswith("*") and n > 1 and strength(s) >= least}
     return {t for sentences, y in zip(bags, toxic, strict=True) if y for bag in sentences for t in bag if t in sure or not sure.isdisjoint(stems(t))}
