@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,7 +36,12 @@ def durable(df: DataFrame, name: str = "cut") -> DataFrame:
     leaves the optimizer a plain scan (so that joins on it can be split by adaptive execution)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the table is whole now: the shuffle files behind it go with the write
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,6 +73,18 @@ def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Call
     return df.mapInArrow(run, struct)
 
 
+def commonest(counted: DataFrame, count_col: str, most: int) -> DataFrame:
+    """The rows with the largest counts that fit into `most` rows. Counts fall into a few hundred steps, and whole steps
+    are taken, so no task sends a list of its own to the driver."""
+    step = F.floor(16 * F.log2(count_col)).cast("int")
+    least, fit = None, 0
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if (fit := fit + r["n"]) > most:
+            break
+        least = r["step"]
+    return counted.where(step >= least if least is not None else F.lit(False))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges(a long, b long): rows (id, root) with root the smallest id of the component, one
     row for each id that has an edge. Alternates large-star and small-star steps (each one shuffle on a node), so the
