@@ -31,14 +31,6 @@ def meta(element):
     return json.loads(element["meta"])
 
 
-def zipped(**members):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, body in members.items():
-            z.writestr(name.replace("__", "/").replace("_dot_", "."), body)
-    return out.getvalue()
-
-
 def package(members):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -87,7 +79,7 @@ def test_data_formats():
     toml = one('n = 1\n[t]\nx = true\n[[a]]\ny = [1,2,3,4,5,6]\n', "toml")[0]
     assert texts(toml) == ["n: 1", "t", "x: true", "a[0]", "y: [1, 2, 3, 4, 5, ... (6 items)]"]
     deep = "{" + '"a":{' * 60 + "}" * 61
-    assert any(meta(e).get("depth_capped") for e in one(deep, "json")[0]["elements"]) is False or True
+    assert any(meta(e).get("depth_capped") for e in one(deep, "json")[0]["elements"])
     assert parse_one(b"<!DOCTYPE x [<!ENTITY a 'b'>]><r>&a;</r>", "xml", "x", {})[1]["kind"] == "parse_failed"
     assert parse_one(b"{", "json", "x", {})[1]["kind"] == "parse_failed"
 
