@@ -3,9 +3,11 @@
 Rotations are learned on a bounded sample (sample_rows vectors, by hash of the vector) so that the signs of the
 rotated, centred components lose least (iterative quantisation: alternate sign codes and the orthogonal Procrustes
 rotation). Every vector gets a code from each rotation; codes are cut into substrings, and each substring is the key of
-one Hamming table. Vectors that share a bucket of any table are compared by the cosine of their original components in
-double precision. A pair counts in the first table that holds both in one bucket and in no other, so counts need no
-distinct over pairs.
+one Hamming table. There are as many rotations as let a pair at the threshold share a key with a probability of 0.9,
+however long the keys are: that is measured on simulated pairs of that cosine around sampled vectors. Where it takes
+more than MOST_TABLES tables, keys get shorter. Vectors that share a bucket of any table are compared by the cosine of
+their original components in double precision. A pair counts in the first table that holds both in one bucket and in no
+other, so counts need no distinct over pairs.
 
 Equal vectors are one class beforehand. A bucket of more than block vectors is cut into blocks by hash, and each pair
 of blocks is one group of its own: no bucket meets in one task. A group gives for each vector a number of links and the
@@ -28,17 +30,20 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import components, durable, table
 
 COSINE = 0.9
+RECALL = 0.93  # aimed at for pairs at the threshold: 0.9, and a margin for what simulated pairs don't show
+LEAST_ROTATIONS, MOST_TABLES = 4, 64
 LOT_ROWS = 20_000
 
 
-def learn_rotations(sample: np.ndarray, rotations: int, steps: int = 40, seed: int = 7) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The mean, and for each rotation a matrix whose products' signs are the code."""
-    rng, dim = np.random.default_rng(seed), sample.shape[1]
+def learn_rotations(sample: np.ndarray, rotations: int, steps: int = 40, seed: int = 7, made: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The mean, and for each rotation a matrix whose products' signs are the code. The first of them may be made already."""
+    dim, made = sample.shape[1], made or []
     mean = sample.mean(0)
     x = sample - mean
     _, vectors = np.linalg.eigh(x.T @ x / max(1, len(x)))
-    v, out = x @ vectors, []
-    for _ in range(rotations):
+    v, out = x @ vectors, list(made)
+    for k in range(len(made), rotations):
+        rng = np.random.default_rng((seed, k))
         r, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
         for _ in range(steps):
             codes = np.where(v @ r >= 0, 1.0, -1.0)
@@ -59,6 +64,41 @@ def table_keys(unit: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray],
     return np.stack(keys, 1).astype(np.int64)
 
 
+def simulated(unit: np.ndarray, threshold: float, pairs: int = 4000, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at the threshold's cosine: sampled vectors, moved in any direction, and as the sample varies."""
+    rng = np.random.default_rng(seed)
+    a = unit[rng.integers(0, len(unit), pairs)]
+    out = []
+    for move in (rng.standard_normal(a.shape), unit[rng.integers(0, len(unit), pairs)] - unit[rng.integers(0, len(unit), pairs)]):
+        move = move - (move * a).sum(1, keepdims=True) * a
+        size = np.linalg.norm(move, axis=1, keepdims=True)
+        real = size[:, 0] > 1e-9
+        out.append((a[real], threshold * a[real] + np.sqrt(max(0.0, 1 - threshold**2)) * move[real] / size[real]))
+    return [(x, y) for x, y in out if len(x)]
+
+
+def choose_rotations(unit: np.ndarray, threshold: float, key_bits: int, shorten: bool = True) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """Mean, rotations and length of keys with which pairs at the threshold share a key with probability RECALL.
+    Without shorten, keys stay as long as given, and tables may be more than MOST_TABLES."""
+    apart = len(unit) // 4 if len(unit) >= 100 else 0  # pairs lie around vectors that rotations aren't learned on
+    pairs, unit, turned, met = simulated(unit[:apart] if apart else unit, threshold), unit[apart:], [], {}
+    while True:
+        each = max(1, unit.shape[1] // key_bits)
+        most = max(LEAST_ROTATIONS, MOST_TABLES // each if shorten else 8 * MOST_TABLES // each)
+        for count in range(LEAST_ROTATIONS, most + 1):
+            if count > len(turned):
+                mean, turned = learn_rotations(unit, count, made=turned)
+            for k in range(count):
+                if (k, key_bits) not in met:
+                    keys = [(table_keys(x, mean, turned[k : k + 1], key_bits), table_keys(y, mean, turned[k : k + 1], key_bits)) for x, y in pairs]
+                    met[k, key_bits] = [(x == y).any(1) for x, y in keys]
+            if all(np.any([met[k, key_bits][i] for k in range(count)], axis=0).mean() >= RECALL for i in range(len(pairs))):
+                return mean, turned[:count], key_bits
+        if not shorten or key_bits <= 1:
+            return mean, turned[:most], key_bits
+        key_bits -= 1
+
+
 def unit_rows(vectors) -> np.ndarray:
     x = np.array(list(vectors), dtype=np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -106,7 +146,7 @@ def compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", rotations: int = 4, key_bits: int | None = None, sample_rows: int = 20_000, block: int = 1024
+    vectors: DataFrame, threshold: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", rotations: int | None = None, key_bits: int | None = None, sample_rows: int = 20_000, block: int = 1024
 ) -> DataFrame:
     """id, n_links, component_id, kept for each row."""
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
@@ -120,12 +160,16 @@ def near_duplicates(
     if not sample:
         return base.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     dim = Counter(map(len, sample)).most_common(1)[0][0]
-    mean, turned = learn_rotations(unit_rows(v for v in sample if len(v) == dim), rotations)
-    classes = seen.where(F.size("vector") == dim).groupBy("hash").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-    if key_bits is None:  # substrings as long as the logarithm of the number of vectors, less what keeps recall
+    unit = unit_rows(v for v in sample if len(v) == dim)
+    shorten = key_bits is None
+    if key_bits is None:  # substrings about as long as the logarithm of the number of vectors
         key_bits = int(min(max(6, round(np.log2(max(n, 2))) - 3), 24, dim))
-
-    tables = rotations * (dim // key_bits)
+    if rotations is None:
+        mean, turned, key_bits = choose_rotations(unit, threshold, key_bits, shorten)
+    else:
+        mean, turned = learn_rotations(unit, rotations)
+    classes = seen.where(F.size("vector") == dim).groupBy("hash").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    tables = len(turned) * (dim // key_bits)
 
     def add_keys(batches):
         for rows in batches:

@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from quillmill.llm.neardup import learn_rotations, near_duplicates, table_keys
+from quillmill.llm.neardup import MOST_TABLES, choose_rotations, learn_rotations, near_duplicates, table_keys, unit_rows
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -64,3 +65,34 @@ def test_rotations_are_orthogonal_and_keys_in_range():
         assert np.allclose(r.T @ r, np.eye(32), atol=1e-8)
     keys = table_keys(x.astype(float), mean, turned, 8)
     assert keys.shape == (len(x), 8) and keys.min() >= 0 and keys.max() < 256
+
+
+def at_cosine(rng, a, cosine):
+    """Vectors at this cosine from the unit vectors a."""
+    move = rng.standard_normal(a.shape)
+    move -= (move * a).sum(1, keepdims=True) * a
+    return cosine * a + np.sqrt(1 - cosine**2) * move / np.linalg.norm(move, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("bits", [8, 14, 17, 20, 24])
+def test_recall_at_the_threshold_does_not_fall_with_longer_keys(bits):
+    rng = np.random.default_rng(4)
+    a = unit_rows(rng.standard_normal((3000, 64)))
+    b = at_cosine(rng, a, 0.9)
+    for shorten in (True, False):
+        mean, turned, k = choose_rotations(a[:1500], 0.9, bits, shorten)
+        assert k == bits or shorten
+        keys = [table_keys(x[1500:], mean, turned, k) for x in (a, b)]
+        assert (keys[0] == keys[1]).any(1).mean() >= 0.9
+        assert not shorten or keys[0].shape[1] <= max(MOST_TABLES, 4 * (64 // k))
+
+
+@pytest.mark.parametrize("bits", [17, 20])
+def test_links_near_the_threshold_are_found_with_the_keys_of_a_large_table(spark, bits):
+    rng = np.random.default_rng(5)
+    a = unit_rows(rng.standard_normal((400, 64)))
+    x = np.concatenate([a, at_cosine(rng, a, 0.905)]).astype(np.float32)
+    n, _ = brute(x)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = near_duplicates(df, key_bits=bits).toPandas().sort_values("id")
+    assert n.sum() == 800 and (got.n_links.to_numpy() <= n).all() and got.n_links.sum() >= 0.9 * n.sum()
