@@ -8,8 +8,7 @@ probabilities sum to 1. The network is a gated recurrent unit (reset after the p
 truncated at window steps, with the state carried from window to window and cleared between documents.
 
 A pilot on a bounded number of documents gives all tasks one start; then each task trains on its own part of the
-training documents (one in 1/share of them, by hash, so that what is trained on grows with the corpus), and the
-weights are averaged by tokens in the cluster. Counts use every training document. Scoring runs the documents of a
+training documents (all of them; a share above 1 takes one in share of them, by hash of the text), and the weights are averaged by tokens in the cluster. Counts use every training document. Scoring runs the documents of a
 batch side by side, carries each one's state over its whole length, and adds up log10 P of every word and the end.
 
 Counts of the commonest lookup_words words travel to the tasks; that is a bound. All other words of a document are
@@ -33,7 +32,7 @@ from quillmill.llm.common import commonest, durable, map_batches, table
 
 TRIGRAMS = 4096
 BLOCK = 4096
-DEFAULTS = {"soft_words": 2048, "lookup_words": 100_000, "rare": 16, "in_class": 64, "width": 16, "hidden": 24, "window": 16, "streams": 256, "pilot_docs": 400, "share": 8, "seed": 5}
+DEFAULTS = {"soft_words": 2048, "lookup_words": 100_000, "rare": 16, "in_class": 64, "width": 16, "hidden": 24, "window": 16, "streams": 256, "pilot_docs": 400, "share": 1, "seed": 5}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -147,14 +146,15 @@ class Network:
 
     def train(self, y: np.ndarray, streams: int, window: int, rate: float, memory: dict | None = None) -> float:
         """One pass over the tokens y (documents one after another, each with its end), cut into streams; Adagrad.
-        The mean loss."""
-        streams = max(1, min(streams, len(y) // (2 * window)))
-        steps = len(y) // streams
-        if not steps:
+        Streams are of equal length: the first tokens come again where the last stream would be shorter. The mean loss."""
+        if not len(y):
             return 0.0
+        streams = max(1, min(streams, len(y) // (2 * window)))
+        steps = -(-len(y) // streams)
+        y = np.resize(y, streams * steps)
         end, p, k = self.soft, self.p, self.hidden
-        x = np.concatenate([[end], y[:-1]])[: streams * steps].reshape(streams, steps).T
-        y = y[: streams * steps].reshape(streams, steps).T
+        x = np.concatenate([[end], y[:-1]]).reshape(streams, steps).T
+        y = y.reshape(streams, steps).T
         g2 = memory if memory is not None else {n: np.full(v.shape if n not in ("emb", "wk") else (len(v), 1), 1e-6, np.float32) for n, v in p.items()}
         h, total = np.zeros((streams, k), np.float32), 0.0
         for t0 in range(0, steps, window):
@@ -398,7 +398,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     net.set_biases(np.concatenate([[lookup[w] for w in soft], [ends], rare_n]))
     pilot = [r[0] for r in training.orderBy(F.xxhash64("text"), "text").limit(o["pilot_docs"]).select("text").collect()]
     if pilot:
-        y = words.start().ids(pilot)[:300_000]
+        y = words.start().ids(pilot)
         for rate in (0.1, 0.05):
             net.train(y, 64, o["window"], rate)
         del words.place, words.net, words.tail
@@ -422,7 +422,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             at = list(range(0, len(flat), BLOCK))
             yield pa.RecordBatch.from_arrays([pa.array([who] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([flat[i : i + BLOCK] for i in at], pa.list_(pa.float32())), pa.array([float(total)] * len(at))], schema=schema)
 
-    some = training.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(o["share"])) == 0)
+    some = training.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(o["share"])) == 0) if o["share"] > 1 else training
     parts = durable(some.select("text").mapInArrow(train_part, "part long, at int, w array<float>, tokens double"), "weights")
     flat, _ = average(parts, len(start))
     if flat is not None:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quillmill.llm import lm
 from quillmill.llm.lm import Network, Spelling, op2_lm, score_documents, words_of
 
 SMALL = {"pilot_docs": 60, "streams": 8, "hidden": 16, "width": 12, "share": 1}
@@ -90,3 +91,11 @@ def test_empty_and_tiny_tables(spark, docs, tmp_path):
     assert score_documents(docs((10, None)), **SMALL).first().n_tokens == 1
     d.write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.n_tokens for r in op2_lm(spark, str(tmp_path)).collect()} == {3, 1}
+
+
+def test_every_training_token_reaches_the_network(docs, monkeypatch):
+    seen, average = [], lm.average
+    monkeypatch.setattr(lm, "average", lambda *a: seen.append(average(*a)) or seen[-1])
+    options = {k: v for k, v in SMALL.items() if k != "share"}
+    row = score_documents(docs(*corpus(4, 120)), **options).first()
+    assert seen[0][1] == row.train_tokens
