@@ -4,7 +4,8 @@ A tree is built from the tags (implied end tags, void elements, raw text element
 drop what a browser would not show, and the rest is written as text: blocks start on lines of their own, paragraphs,
 headings, lists, tables and quotes keep a blank line around them, list items get bullets or numbers and an indent for
 each level, preformatted text keeps its white space, and table cells are padded to the widths of their columns
-(colspan and rowspan kept).
+(colspan and rowspan kept). Cells without a row get one, rows within other elements (forms) count as the table's, and
+text or elements misplaced between cells are written before their table, as browsers do.
 
 Null pages give null text, empty ones empty text. Broken markup never fails: what can't be a tag is text. Repeated
 rows give repeated results; an empty table gives an empty one. The tree and the renderer use no recursion but for
@@ -42,6 +43,7 @@ ENDS = {
     "th": (CELL | {"caption"}, frozenset(("tr", "table"))),
     "tr": (CELL | ROW | {"caption"}, frozenset(("table",))),
     **{g: (CELL | ROW | GROUP | {"caption", "colgroup"}, frozenset(("table",))) for g in GROUP},
+    "table": (frozenset(("table",)), CELL | {"caption"}),
     "rt": (frozenset(("rt", "rp")), frozenset(("ruby",))),
     "rp": (frozenset(("rt", "rp")), frozenset(("ruby",))),
 }
@@ -107,7 +109,7 @@ def build(html: str) -> Node:
             if tag == "br":
                 stack[-1].kids.append(Node("br"))
             elif open_tags.get(tag):
-                d = find((tag,), () if tag in SCOPES or tag in ("tr", "body") else SCOPES)
+                d = find((tag,), () if tag in SCOPES or tag in ("tr", "body") else ("table",) if tag in GROUP else SCOPES)
                 if d and not (tag in INLINE and any(x.tag in BLOCKS for x in stack[d:])):  # a mark that ends within a block doesn't end the block
                     pop_to(d)
             elif tag == "p":
@@ -244,25 +246,58 @@ def columns(s: str) -> int:
     return len(s) if s.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def table_lines(node: Node, depth: int, unseen: bool) -> list[str]:
-    captions, groups = [], {"thead": [], "tbody": [], "tfoot": []}
-    for kid in node.kids:
-        if isinstance(kid, str) or hidden(kid):
+def table_parts(table: Node, unseen: bool) -> tuple[list, list, list]:
+    """What stands before the table, its captions and its rows (head, body, foot), each cell with whether visibility hides
+    it. Cells without a row make one; rows and cells are found through other elements, such as forms; all else within
+    the table but outside of its cells and captions is misplaced and goes before the table."""
+    before, captions, groups, implied = [], [], {"thead": [], "tbody": [], "tfoot": []}, None
+    todo = [(k, before, ("tbody", table), None, unseen) for k in reversed(table.kids)]
+    while todo:
+        node, out, group, row, unseen = todo.pop()
+        if isinstance(node, str):
+            if out is not before or node.strip(" \t\n\r\f"):
+                out.append(node)
+            continue
+        tag = node.tag
+        part = tag in groups or tag == "tr" or tag in CELL or tag == "caption"
+        if tag in UNSEEN or (part and hidden(node)):
             continue
-        if kid.tag == "caption":
-            captions.append(kid)
-        elif kid.tag in groups:
-            groups[kid.tag] += [r for r in kid.kids if not isinstance(r, str) and r.tag == "tr" and not hidden(r)]
-        elif kid.tag == "tr":
-            groups["tbody"].append(kid)
+        if tag == "caption":
+            captions.append((node, unseen_text(node, unseen)))
+        elif tag in CELL:
+            if row is None:
+                if implied is None or implied[0] is not group[1]:
+                    implied = (group[1], [])
+                    groups[group[0]].append(implied[1])
+                row = implied[1]
+            row.append((node, unseen_text(node, unseen)))
+        elif part:
+            implied = None
+            if tag == "tr":
+                row = []
+                groups[group[0]].append(row)
+            else:
+                group, row = (tag, node), None
+            todo += [(k, before, group, row, unseen_text(node, unseen)) for k in reversed(node.kids)]
+        elif tag == "table" or tag in VOID or tag in RAW:
+            out.append(node)
+        else:
+            rest = Node(tag, node.attrs)
+            if tag != "colgroup":
+                out.append(rest)
+            todo += [(k, before if tag == "colgroup" else rest.kids, group, row, unseen) for k in reversed(node.kids)]
+    return before, captions, groups["thead"] + groups["tbody"] + groups["tfoot"]
+
+
+def table_lines(captions: list, rows: list, depth: int) -> list[str]:
     grid, held = [], {}  # held: rows that a cell above still takes, by column
-    for row in groups["thead"] + groups["tbody"] + groups["tfoot"]:
+    for row in rows:
         cells, col = [], 0
-        for cell in (c for c in row.kids if not isinstance(c, str) and c.tag in CELL and not hidden(c)):
+        for cell, unseen in row:
             while held.get(col):
                 col += 1
             wide, high = whole(cell.attrs, "colspan", 1, 1, 1000), whole(cell.attrs, "rowspan", 1, 1, 65534)
-            cells.append((col, wide, render(cell, depth + 1, unseen_text(cell, unseen_text(row, unseen))).split("\n")))
+            cells.append((col, wide, render(cell, depth + 1, unseen).split("\n")))
             for c in range(col, col + wide):
                 held[c] = max(held.get(c, 0), high)
             col += wide
@@ -281,7 +316,7 @@ def table_lines(node: Node, depth: int, unseen: bool) -> list[str]:
                     width[col + wide - 1] = width.get(col + wide - 1, 0) + short
     used = sorted(c for c, w in width.items() if w)
     out = []
-    for caption in captions:
+    for caption, unseen in captions:
         out += [*render(caption, depth + 1, unseen).split("\n")]
     at, x = {}, 0
     for c in used:
@@ -327,9 +362,14 @@ def render(root: Node, depth: int = 0, unseen: bool = False) -> str:
             w.indent = arg[0]
             w.gap(arg[1])
             continue
+        if tag == "#grid":
+            w.gap(2)
+            w.lines(table_lines(*arg, depth))
+            w.gap(2)
+            continue
         if hidden(node):
             continue
-        unseen = unseen_text(node, unseen)
+        above, unseen = unseen, unseen_text(node, unseen)
         if tag == "br":
             w.breaks, w.space = w.breaks + 1, False
             continue
@@ -351,9 +391,9 @@ def render(root: Node, depth: int = 0, unseen: bool = False) -> str:
             w.gap(2)
             continue
         if tag == "table" and depth < 20:
-            w.gap(2)
-            w.lines(table_lines(node, depth, unseen))
-            w.gap(2)
+            before, captions, rows = table_parts(node, unseen)
+            stack.append((Node("#grid"), unseen, pre, (captions, rows)))
+            stack += [(k, above, pre, None) for k in reversed(before)]
             continue
         kids = node.kids
         if tag == "details" and attribute(node.attrs, "open") is None:

@@ -60,3 +60,25 @@ def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string")
     got = sorted((r.id, r.text) for r in extract(pages).where("id is not null").collect())
     assert got == [(1, "a"), (1, "a")] and extract(pages).count() == 3 and extract(pages.limit(0)).count() == 0
+
+
+MISPLACED = [
+    ("<table><td>x</table>", "x"),
+    ("<table><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+    ("<table><tbody><td>a<td>b</tbody><th>c</table>", "a  b\nc"),
+    ("<table><form><tr><td>x</td></tr></form></table>", "x"),
+    ("<table><colgroup><col><tr><td>x</table>", "x"),
+    ("<table>text<tr><td>x</table>", "text\n\nx"),
+    ("<table><tr>text<td>x</td>more</table>after", "textmore\n\nx\n\nafter"),
+    ("one<table><tr><td>x</td><div>two<td>y</table>", "one\ntwo\n\nx  y"),
+    ("<table><tbody>t<b>u</b><tr><td>x</table>", "tu\n\nx"),
+    ("<table><tr><td>x</tr><table><tr><td>y</table>", "x\n\ny"),
+    ("<table><tr hidden>no<td>no<tr><td>x<script>no</script></table>", "x"),
+    ("<table><form>" * 2000 + "<td>deep", "deep"),
+    ("<table>" + "<div>" * 20_000 + "deep", "deep"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), MISPLACED)
+def test_no_visible_text_of_a_table_is_lost(html, text):
+    assert to_text(html)[1] == text
