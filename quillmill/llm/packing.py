@@ -7,14 +7,15 @@ Bins are ordered by residual; for a piece the search starts at the successor of
 holds it) and goes on to the next until it comes to the tightest bin whose bitmaps have neither the piece's source nor
 its cluster; only where none is left a new bin opens.
 
-A source that holds a large share of all rows would leave most bins unfilled under one bit: a source gets
-ceil(share * pieces_per_bin) bits, and a piece takes one of them by hash. So a bin holds no more of a source than its
-share of the corpus asks for, and sources of small share at most once. Cluster bits are strict: no two members of a
-cluster are ever in one bin.
+Both bitmaps are strict: no bin ever holds two pieces of one source, or two members of one cluster. Where one source
+holds a large share of all rows, its bins hold few other pieces and stay unfilled; that is what the constraint asks for
+(bin_tokens shows it). For a source of many pieces the shard also keeps, for each residual, how many bins lack it, so
+the search goes straight to the next residual that has a bin for it.
 
 Shards are dealt by a hash of the row, so no source and no cluster meets in one task; their number follows the number
 of rows. Null texts and lengths count as one token (the end); null sources and clusters conflict with nothing;
-repeated rows are packed each, with clusters keeping them apart; an empty table gives an empty one.
+repeated rows are packed each, with clusters keeping them apart; ties in length go by a hash of the row. Only the
+named columns are read, so others, whatever their names, don't matter. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,20 +31,31 @@ PACKED = "doc_id long, piece int, start long, n_tokens int, shard int, bin int,
 
 class Bins:
     """Residual-ordered bins. level[r] has the bins of residual r, grouped by their bitmaps; filled has bit r set where
-    level[r] has bins, so the successor of a residual is one shift and one lowest bit."""
+    level[r] has bins, so the successor of a residual is one shift and one lowest bit. For the sources in heavy, lack
+    counts the bins of each residual that don't hold them, and open has bit r set where there are any."""
 
-    def __init__(self, capacity: int):
+    def __init__(self, capacity: int, heavy: tuple[int, ...] = ()):
         self.capacity, self.filled = capacity, 0
         self.level: list[dict] = [{} for _ in range(capacity + 1)]
         self.bins: list[list[int]] = []
         self.left: list[int] = []
+        self.lack = {m: [0] * (capacity + 1) for m in heavy}
+        self.open = dict.fromkeys(heavy, 0)
+
+    def count(self, r: int, sources: int, by: int) -> None:
+        for m, lack in self.lack.items():
+            if not m & sources:
+                lack[r] += by
+                if lack[r] == (by > 0):  # the first one came, or the last one went
+                    self.open[m] ^= 1 << r
 
     def put(self, r: int, sources: int, clusters: int, b: int) -> None:
         self.level[r].setdefault((sources, clusters), []).append(b)
         self.filled |= 1 << r
+        self.count(r, sources, 1)
 
     def add(self, item: int, size: int, source: int, cluster: int) -> int:
-        rest = self.filled >> size << size
+        rest = self.open.get(source, self.filled) >> size << size
         while rest:
             r = (rest & -rest).bit_length() - 1
             level = self.level[r]
@@ -54,6 +66,7 @@ class Bins:
                         del level[key]
                         if not level:
                             self.filled ^= 1 << r
+                    self.count(r, key[0], -1)
                     self.bins[b].append(item)
                     self.left[b] = r - size
                     if r > size:  # a full bin takes nothing more
@@ -68,20 +81,18 @@ class Bins:
         return b
 
 
-def pack_shard(rows: pd.DataFrame, capacity: int) -> tuple[list[int], list[int], list[int]]:
-    """The bin, the place in it and the bin's tokens of each row (columns size, source, bits, cluster, tie), whose
-    order they follow."""
+def pack_shard(rows: pd.DataFrame, capacity: int, heavy: int = 64) -> tuple[list[int], list[int], list[int]]:
+    """The bin, the place in it and the bin's tokens of each row (columns size, source, cluster, tie), whose order they
+    follow. Sources of at least `heavy` pieces get counts of their own, which changes the time alone."""
     order = rows.sort_values(["size", "tie", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable").index
-    sizes, copies = rows["size"].to_dict(), rows["cluster"].value_counts()
+    sizes, copies, held = rows["size"].to_dict(), rows["cluster"].value_counts(), rows["source"].value_counts()
     own = {c: i for i, c in enumerate(copies.index[copies > 1])}  # a cluster of one member needs no bit
-    slot: dict = {}
-    bins = Bins(capacity)
-    source, bits, cluster, tie = (rows[c].to_dict() for c in ("source", "bits", "cluster", "tie"))
+    slot = {s: i for i, s in enumerate(held.index)}
+    bins = Bins(capacity, tuple(1 << slot[s] for s in held.index[held >= heavy]))
+    source, cluster = rows["source"].to_dict(), rows["cluster"].to_dict()
     for i in order:
-        s = source[i]
-        mark = 0 if pd.isna(s) else 1 << slot.setdefault((s, tie[i] % bits[i]), len(slot))
-        c = cluster[i]
-        bins.add(i, sizes[i], mark, 1 << own[c] if not pd.isna(c) and c in own else 0)
+        s, c = source[i], cluster[i]
+        bins.add(i, sizes[i], 0 if pd.isna(s) else 1 << slot[s], 1 << own[c] if not pd.isna(c) and c in own else 0)
     at = {i: (b, k, capacity - bins.left[b]) for b, items in enumerate(bins.bins) for k, i in enumerate(items)}
     return tuple(list(x) for x in zip(*(at[i] for i in rows.index), strict=True))
 
@@ -91,7 +102,7 @@ def n_words(col: str):
 
 
 def pack(
-    docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, length_col: str | None = None
+    docs: DataFrame, capacity: int = 2048, shard_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, length_col: str | None = None
 ) -> DataFrame:
     """Rows (doc_id, piece, start, n_tokens, shard, bin, place, bin_tokens): where each piece of each document lies.
     cluster_col names duplicate clusters; without one, equal texts are a cluster. length_col names token counts."""
@@ -101,18 +112,12 @@ def pack(
     cluster = F.when(F.col(cluster_col or text_col).isNotNull(), cluster)
     items = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.alias("tokens"), source.alias("source"), cluster.alias("cluster"), F.xxhash64(id_col, text_col, source).alias("tie"))
     items = durable(items, "lengths")
-    # one small aggregate sizes the shards and the sources' bits; its rows are as many as there are sources
-    stats = items.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.ceil(F.col("tokens") / capacity)).cast("long").alias("pieces"), F.sum("tokens").alias("sum_tokens"))
-    whole = stats.agg(F.sum("pieces").alias("pieces"), F.sum("sum_tokens").alias("sum_tokens")).first()
-    n, total = whole["pieces"] or 0, whole["sum_tokens"] or 0
-    shards = max(1, -(-n // shard_rows))
-    per_bin = max(1.0, n * capacity / max(total, 1))
-    bits = stats.select(F.col("source").alias("_source"), F.greatest(F.lit(1), F.ceil(F.col("pieces") * per_bin / max(n, 1))).cast("int").alias("bits"))
-    items = items.join(F.broadcast(bits), F.col("source") == F.col("_source"), "left") if stats.limit(10_001).count() <= 10_000 else items.join(bits, F.col("source") == F.col("_source"), "left")
+    n = items.agg(F.sum(F.ceil(F.col("tokens") / capacity))).first()[0] or 0
+    shards = max(1, round(n / shard_rows))
     piece = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("tokens") / capacity) - 1).cast("int")))
-    items = items.select("doc_id", "tokens", "source", "cluster", "tie", F.coalesce("bits", F.lit(1)).alias("bits"), piece.alias("piece"))
+    items = items.select("doc_id", "tokens", "source", "cluster", "tie", piece.alias("piece"))
     start = F.col("piece").cast("long") * capacity
-    items = items.select("doc_id", "source", "cluster", "tie", "bits", "piece", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("tokens") - start).cast("int").alias("size"))
+    items = items.select("doc_id", "source", "cluster", "tie", "piece", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("tokens") - start).cast("int").alias("size"))
     items = items.withColumn("shard", F.pmod(F.xxhash64("tie", "piece", "doc_id"), F.lit(shards)).cast("int"))
 
     def run(rows):

@@ -50,17 +50,21 @@ def test_windows_hold_no_cluster_twice_and_everything_once(docs):
     assert sorted((r.piece, r.start, r.n_tokens) for r in got if r.doc_id == 900) == [(0, 0, 50), (1, 50, 50), (2, 100, 50), (3, 150, 50), (4, 200, 31)]
 
 
-def test_small_sources_meet_once_in_a_window():
-    rows = pd.DataFrame({"doc_id": range(40), "piece": 0, "size": 5, "source": ["a", "b"] * 20, "bits": 1, "cluster": range(40), "tie": range(40)})
-    b, _, _ = pack_shard(rows, 100)
-    assert max(Counter(zip(b, rows["source"], strict=True)).values()) == 1
+def test_no_window_holds_a_source_or_a_cluster_twice():
+    rng = random.Random(5)
+    n = 1500
+    rows = pd.DataFrame({"doc_id": range(n), "piece": 0, "size": [rng.randrange(1, 60) for _ in range(n)], "source": ["hot" if rng.random() < 0.4 else rng.choice(["a", "b", "c", None]) for _ in range(n)], "cluster": [rng.randrange(200) for _ in range(n)], "tie": range(n)})
+    plain = pack_shard(rows, 100, heavy=10**9)
+    assert pack_shard(rows, 100, heavy=2) == plain  # counts of hot sources change the time alone
+    for col in ("source", "cluster"):
+        assert max(Counter((b, v) for b, v in zip(plain[0], rows[col], strict=True) if v is not None).values()) == 1
 
 
-def test_a_hot_source_gets_its_share_and_fills_windows(docs):
+def test_a_hot_source_fills_no_window_twice(docs):
     rows = [(i, " ".join(f"w{i}" for _ in range(9)), "hot" if i % 2 else f"s{i % 38}") for i in range(400)]
     got = pack(docs(*rows), capacity=100).collect()
-    bins = len({(r.shard, r.bin) for r in got})
-    assert bins <= 1.35 * 400 * 10 / 100
+    held = Counter((r.shard, r.bin) for r in got if r.doc_id % 2)
+    assert max(held.values()) == 1 and len({(r.shard, r.bin) for r in got}) == 200  # as few windows as the hot source allows
 
 
 def test_empty_table_and_clashing_names(docs):
