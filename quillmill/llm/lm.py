@@ -7,16 +7,18 @@ P(class | h) (c + 1) / (N_class + V_class + 1) for the other words, whose last s
 probabilities sum to 1. The network is a gated recurrent unit (reset after the product), trained by backpropagation
 truncated at window steps, with the state carried from window to window and cleared between documents.
 
-A pilot on a bounded number of documents gives all tasks one start; then each task trains on its own part of the
-training documents (all of them; a share above 1 takes one in share of them, by hash of the text), and the weights are averaged by tokens in the cluster. Counts use every training document. Scoring runs the documents of a
-batch side by side, carries each one's state over its whole length, and adds up log10 P of every word and the end.
+A pilot on a bounded number of documents, whole, gives all tasks one start; then each task trains on all of its
+training documents, and the weights are averaged by tokens in the cluster. Counts use every training document. Scoring
+runs the documents of a batch side by side, carries each one's state over its whole length, and adds up log10 P of
+every word and the end.
 
 Counts of the commonest lookup_words words travel to the tasks; that is a bound. All other words of a document are
 joined with the full table of counts.
 
-Null and empty texts are one token, the end. Repeated rows are counted and scored each. A null id counts as "null"
-does nowhere: its hash is null, so the row is trained on and not held out. Without training tokens, c, N and V are 0
-and every score equals the base score. An empty table gives an empty one.
+Null and empty texts are one token, the end. Repeated rows are counted and scored each. The hash of a null id is null,
+so such a row is trained on and not held out. Ties in counts go by the word. Only the id and the text are read, so
+other columns, whatever their names, don't matter. Without training tokens, c, N and V are 0 and every score equals the
+base score. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from quillmill.llm.common import commonest, durable, map_batches, table
 
 TRIGRAMS = 4096
 BLOCK = 4096
-DEFAULTS = {"soft_words": 2048, "lookup_words": 100_000, "rare": 16, "in_class": 64, "width": 16, "hidden": 24, "window": 16, "streams": 256, "pilot_docs": 400, "share": 1, "seed": 5}
+DEFAULTS = {"soft_words": 8192, "lookup_words": 100_000, "rare": 32, "in_class": 128, "width": 24, "hidden": 32, "window": 16, "streams": 256, "pilot_docs": 500, "seed": 5}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -396,7 +398,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     net = Network(classes, len(soft), o["rare"], o["width"], o["hidden"], o["seed"])
     net.set_biases(np.concatenate([[lookup[w] for w in soft], [ends], rare_n]))
-    pilot = [r[0] for r in training.orderBy(F.xxhash64("text"), "text").limit(o["pilot_docs"]).select("text").collect()]
+    # by a threshold of the texts' hashes, equal texts once: about pilot_docs rows leave the tasks
+    part = F.pmod("h", F.lit(1 << 40)) <= (1 << 40) * o["pilot_docs"] // max(ends, 1)
+    chosen = training.select("text", F.xxhash64("text").alias("h")).where(part).groupBy("h").agg(F.min("text").alias("text"))
+    pilot = [r["text"] for r in sorted(chosen.collect())]
     if pilot:
         y = words.start().ids(pilot)
         for rate in (0.1, 0.05):
@@ -422,8 +427,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             at = list(range(0, len(flat), BLOCK))
             yield pa.RecordBatch.from_arrays([pa.array([who] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([flat[i : i + BLOCK] for i in at], pa.list_(pa.float32())), pa.array([float(total)] * len(at))], schema=schema)
 
-    some = training.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(o["share"])) == 0) if o["share"] > 1 else training
-    parts = durable(some.select("text").mapInArrow(train_part, "part long, at int, w array<float>, tokens double"), "weights")
+    parts = durable(training.select("text").mapInArrow(train_part, "part long, at int, w array<float>, tokens double"), "weights")
     flat, _ = average(parts, len(start))
     if flat is not None:
         net.load(flat)
