@@ -13,9 +13,12 @@ Equal vectors are one class beforehand. A bucket of more than block vectors is c
 of blocks is one group of its own: no bucket meets in one task. A group gives for each vector a number of links and the
 root of its local component, never pairs; the roots are joined by connected components.
 
-Vectors that are null, zero or hold null or non-finite components, and those of another dimension than the sample's
-most frequent one, link with nothing: 0 links, a component of their own. Rows repeated with the same id count as one
-vector each for their links, and share one row's id as component. An empty table gives an empty one.
+Vectors that are null, zero or hold null or non-finite components link with nothing: 0 links, a component of their own.
+Vectors of different dimensions never link; those of one dimension do, whatever it is: for codes (never for cosines)
+vectors are filled up with zeros or folded to the sample's most frequent dimension, and keys hold the dimension. Rows
+repeated with the same id count as one vector each for their links, and share one row's id as component. Rows with a
+null id are vectors like others; a component of such rows alone has a null id, and kept is null there. Only the id and
+the vector are read, so other columns, whatever their names, don't matter. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -104,6 +107,22 @@ def unit_rows(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def fitted(vectors, dim: int) -> np.ndarray:
+    """Unit rows of dim components: shorter vectors are filled up with zeros, longer ones folded with signs."""
+    out = np.zeros((len(vectors), dim))
+    signs = np.random.default_rng(3)
+    flip = signs.choice([-1.0, 1.0], 1 << 16)
+    for i, v in enumerate(vectors):
+        v = np.asarray(v, np.float64)
+        if len(v) <= dim:
+            out[i, : len(v)] = v
+        else:
+            turn = np.arange(len(v))
+            np.add.at(out[i], turn % dim, v * np.where(turn < dim, 1.0, flip[turn % len(flip)]))
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(size > 0, size, 1.0)
+
+
 def local_roots(mask: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The smallest id of each row's component in a symmetric mask, by spreading the smallest label and halving paths."""
     order = np.argsort(ids, kind="stable")
@@ -135,8 +154,9 @@ def compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     a, b = np.nonzero(pair)
     if not len(a):
         return pd.DataFrame({"id": [], "links": [], "root": []}, dtype="int64")
-    first = ~(keys[a, :t] == keys[b, :t]).any(1)
-    a, b = a[first], b[first]
+    for u in range(t):  # pairs that an earlier table has are left to it
+        apart = keys[a, u] != keys[b, u]
+        a, b = a[apart], b[apart]
     mask = np.zeros_like(pair)
     mask[a, b] = True
     links = np.bincount(a, weights=copies[b], minlength=len(ids)).astype(np.int64)
@@ -168,15 +188,16 @@ def near_duplicates(
         mean, turned, key_bits = choose_rotations(unit, threshold, key_bits, shorten)
     else:
         mean, turned = learn_rotations(unit, rotations)
-    classes = seen.where(F.size("vector") == dim).groupBy("hash").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    classes = seen.groupBy("hash").agg(F.coalesce(F.min("id"), F.min("hash.a")).alias("id"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     tables = len(turned) * (dim // key_bits)
 
     def add_keys(batches):
         for rows in batches:
             if len(rows):
-                yield rows.assign(keys=list(table_keys(unit_rows(rows["vector"]), mean, turned, key_bits)))
+                sizes = rows["vector"].map(len).to_numpy(np.int64)[:, None]
+                yield rows.assign(keys=list(table_keys(fitted(rows["vector"], dim), mean, turned, key_bits) + (sizes << 32)))
 
-    classes = durable(classes.where("id is not null").select("id", "copies", "vector").mapInPandas(add_keys, "id long, copies long, vector array<double>, keys array<long>"), "codes")
+    classes = durable(classes.select("id", "least", "copies", "vector").mapInPandas(add_keys, "id long, least long, copies long, vector array<double>, keys array<long>"), "codes")
     placed = classes.select("id", "copies", F.posexplode("keys").alias("t", "key"))
     sizes = durable(placed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int")), "buckets")
     rows = classes.select("id", "copies", "vector", "keys", F.posexplode("keys").alias("t", "key")).join(sizes, ["t", "key"])
@@ -197,10 +218,11 @@ def near_duplicates(
     found = durable(rows.groupBy("lot", "big").applyInPandas(run, LINKED), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    told = classes.select("id", "copies").join(links, "id", "left").join(roots, "id", "left")
-    told = durable(told.select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")), "told")
+    told = classes.select("id", "least", "copies").join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    lowest = told.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = durable(told.join(lowest, "root").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "told")
     # members of a class are found by their hash; a large class is one key on the left, which adaptive execution can split
-    rep = durable(seen.where(F.size("vector") == dim).groupBy("hash").agg(F.min("id").alias("rep")), "reps")
+    rep = durable(seen.groupBy("hash").agg(F.coalesce(F.min("id"), F.min("hash.a")).alias("rep")), "reps")
     out = base.join(rep, "hash", "left").join(told.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("component_id", "id") == F.col("id")).alias("kept"))
 

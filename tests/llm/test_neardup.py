@@ -96,3 +96,18 @@ def test_links_near_the_threshold_are_found_with_the_keys_of_a_large_table(spark
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
     got = near_duplicates(df, key_bits=bits).toPandas().sort_values("id")
     assert n.sum() == 800 and (got.n_links.to_numpy() <= n).all() and got.n_links.sum() >= 0.9 * n.sum()
+
+
+def test_null_ids_other_dimensions_and_clashing_names(spark):
+    rng = np.random.default_rng(6)
+    far = rng.standard_normal((300, 16))
+    long, short = rng.standard_normal((6, 40)), rng.standard_normal((6, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(far)]
+    for at, some in ((1000, long), (2000, short)):
+        rows += [(at + i, v.tolist()) for i, v in enumerate(some)] + [(at + 500 + i, (v + 0.01).tolist()) for i, v in enumerate(some)]
+    rows += [(3000, [3.0] * 16), (None, [3.001] + [3.0] * 15), (None, [-1.0] * 8 + [1.0] * 8), (None, [-1.0] * 8 + [1.0] * 8)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA).selectExpr("*", "1 AS id", "2 AS hash", "3 AS vector", "4 AS key", "5 AS t", "6 AS root")
+    got = near_duplicates(df).collect()
+    by = {r.id: (r.n_links, r.component_id) for r in got if r.id is not None}
+    assert all(by[at + 500 + i] == (1, at + i) for at in (1000, 2000) for i in range(6)) and by[3000] == (1, 3000)
+    assert sorted(((r.n_links, r.component_id, r.kept) for r in got if r.id is None), key=repr) == sorted([(1, 3000, None), (1, None, None), (1, None, None)], key=repr)
