@@ -4,18 +4,24 @@ Kernel: over the subsequences of 3 and 4 characters of a token (with a mark at i
 and 6; one that spans s characters weighs decay**s, and kernels are normalised. Inserted characters only stretch a
 span, so "idi.ot" stays near "idiot". Letters that stand alone in a row ("i d i o t") are read as one token.
 
-Training: labelled rows' sentences. A sentence of a clean document is clean in every token; one of a toxic document
-holds at least one toxic token, so the machine picks the witnesses itself (multiple-instance training): those that
-document frequencies make sure first, then its own choice where a document has none, against random and the hardest
-clean tokens. Landmarks are drawn
-from both; the machine is solved in the landmarks' space (squared hinge, Newton steps). Its decision is linear in the
+Training: labelled rows' sentences are bags of tokens (multiple-instance training). Every token of a clean document's
+sentence is taken for clean, but for tokens that seven tenths of their documents call toxic (labels have errors); a
+toxic document has at least one sentence with a toxic token. Document frequencies give the first witnesses; to them the
+machine adds its own in each round: the token of the largest decision in each sentence that it holds for toxic, and in
+the best sentence of each toxic document, against random and the hardest clean tokens. (Without the first witnesses in
+the later rounds, the machine drifts: 61 % of held-out toxic documents were found in place of 93 %.)
+Instances are single tokens, so abuse made of several ordinary words is not covered. Landmarks are drawn from both
+sides; the machine is solved in the landmarks' space (squared hinge, Newton steps). Its decision is linear in the
 subsequences, so the landmarks are folded into one weight for each subsequence, and scoring a token is a look-up.
 A document's score is logistic in its two largest decisions and the sum of its positive ones.
 
 Labels are fitted on a bounded sample: at most train_rows labelled rows (by hash of their id), which the driver holds.
 Every document is scored over its whole text, in one pass without a shuffle; null and empty texts get the score of a
 document without toxic tokens. Labels, language, source and id are never inputs of a score. Without labels of both
-kinds, the score is the share of toxic labels (0 where there is none).
+kinds, the score is the share of toxic labels (0 where there is none). A null id is not held out and has no label.
+Repeated rows are scored each, and equal texts alike; of a labelled id with several texts the smallest is read, and an
+id with both labels counts as toxic. Only the id and the text are read, so other columns, whatever their names, don't
+matter. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,9 +39,11 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.common import map_batches, table
 
-# The kernel's alphabet: a mark for the start of a token, then these; what is none of them is one further symbol.
+# The kernel's alphabet: a mark for the start of a token, then these, then symbols that all other letters are dealt over
+# by code point, and one symbol for what is no letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåçèéêëìíîïñòóôöõùúûüß"
-BASE = len(LETTERS) + 2
+OTHERS = 7
+BASE = len(LETTERS) + OTHERS + 2
 TOKEN_CHARS = 24
 COMBOS = [(3, (0, i, j), j) for j in range(2, 5) for i in range(1, j)] + [(4, (0, i, j, k), k) for k in range(3, 6) for j in range(2, k) for i in range(1, j)]
 SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?!\S)")
@@ -62,7 +70,7 @@ def tokens_of(text: str) -> set[str]:
 class Kernel:
     def __init__(self, decay: float = 0.7):
         self.decay = decay
-        self.code = np.full(0x110000, BASE - 1, np.int8)
+        self.code = np.fromiter((len(LETTERS) + 1 + c % OTHERS if chr(c).isalpha() else BASE - 1 for c in range(0x110000)), np.int8, 0x110000)
         for i, c in enumerate(LETTERS):
             self.code[ord(c)] = i + 1
 
@@ -96,12 +104,12 @@ class Kernel:
 
 
 class Machine:
-    """Weights of subsequences, and the logistic layer. decide() gives max(0, decision) of tokens, exact where it is
+    """Weights of subsequences, and the logistic layer; marks are the landmarks with their coefficients. decide() gives max(0, decision) of tokens, exact where it is
     positive: the squared weights without merging equal subsequences bound the norm from below, so most tokens need no
     exact norm."""
 
-    def __init__(self, decay, index, value, bias, layer):
-        self.decay, self.index, self.value, self.bias, self.layer = decay, index, value, bias, layer
+    def __init__(self, decay, index, value, bias, layer, marks=()):
+        self.decay, self.index, self.value, self.bias, self.layer, self.marks = decay, index, value, bias, layer, marks
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("kernel", "table")}
@@ -210,18 +218,20 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, rounds: int
     fit = (fold > 0) if y.sum() >= 60 else np.ones(len(y), bool)
     inner = [b for b, f in zip(bags, fit, strict=True) if f]
     yi = y[fit]
-    clean = sorted({t for b, v in zip(inner, yi, strict=True) if not v for s in b for t in s})
-    known_clean = set(clean)
+    per = [Counter(t for b, v in zip(inner, yi, strict=True) if v == k for t in set().union(*b)) for k in (0, 1)]
+    # labels have errors: a token is known to be clean by three tenths of its documents at least, not by a single one
+    known_clean = {t for t, n in per[0].items() if 7 * n >= 3 * per[1][t]}
+    clean = sorted(known_clean)
     sure = first_witnesses(inner, yi) - known_clean
     kernel, machine = Kernel(decay), None
     for turn in range(rounds):
         good = set(sure)
-        if machine is not None:  # documents without a sure token: the machine's own choice
+        if machine is not None:
+            names = sorted({t for b, v in zip(inner, yi, strict=True) if v for s in b for t in s} - known_clean)
+            told = dict(zip(names, machine.decide(names).tolist(), strict=True))
             for b, v in zip(inner, yi, strict=True):
-                if v and not any(sure & s for s in b):
-                    names = sorted({t for s in b for t in s} - known_clean)
-                    d = machine.decide(names)
-                    good.update(names[i] for i in np.argsort(-d, kind="stable")[:1] if d[i] > 0.2)
+                best = [max((told.get(t, 0.0), t) for t in s) for s in b] if v else []
+                good.update(t for d, t in best if d > (0.5 if (d, t) == max(best) else 0.9))
         good = sorted(good)
         if not good:
             break
@@ -258,20 +268,21 @@ def train(texts: list[str], toxic: list[int], landmarks: int = 160, rounds: int
         for (ids, v), a in zip(z, alpha, strict=True):
             table_[ids] += (a * v).astype(np.float32)
         index = np.flatnonzero(table_)
-        machine = Machine(decay, index, table_[index], float(w[-1]), np.zeros(4)).start()
+        machine = Machine(decay, index, table_[index], float(w[-1]), np.zeros(4), list(zip(marks, alpha.tolist(), strict=True))).start()
     if machine is None:
         return Machine(decay, np.zeros(0, np.int64), np.zeros(0, np.float32), -1.0, np.array([np.log(y.mean() / (1 - y.mean())), 0, 0, 0]))
     held = np.flatnonzero(~fit) if not fit.all() else np.arange(len(y))
     x = layer_inputs([machine.decide(sorted({t for s in bags[i] for t in s})) for i in held])
-    return Machine(decay, machine.index, machine.value, machine.bias, logistic(x, y[held]))
+    return Machine(decay, machine.index, machine.value, machine.bias, logistic(x, y[held]), machine.marks)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, train_rows: int, id_col: str, text_col: str) -> tuple[list[str], list[int]]:
     """Texts and labels of at most train_rows labelled rows, by hash of their id, but for the held-out fifth. The ids
     are chosen from the labels first, so only a bounded table is broadcast and no text is shuffled."""
-    ids = labels.where((F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0) & F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("_id"), "toxic")
-    ids = ids.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
-    rows = docs.join(F.broadcast(ids), docs[id_col] == F.col("_id")).groupBy("_id").agg(F.min(text_col).alias("text"), F.min("toxic").alias("toxic")).select("_id", "text", "toxic").collect()
+    ids = labels.select(F.col(id_col).alias("key"), "toxic").where((F.crc32(F.col("key").cast("string").cast("binary")) % 5 != 0) & F.col("toxic").isin(0, 1))
+    ids = ids.groupBy("key").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(train_rows)
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(ids), "key").groupBy("key").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).select("key", "text", "toxic").collect()
     rows.sort(key=lambda r: r[0])
     return [r[1] or "" for r in rows], [int(r[2]) for r in rows]
 
@@ -311,12 +322,12 @@ def score_column(docs: DataFrame, machine: Machine, text_col: str = "text"):
     return score(F.col(text_col))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Machine:
     return train(*labelled_rows(docs, labels, train_rows, id_col, text_col))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
-    held = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

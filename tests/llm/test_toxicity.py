@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from quillmill.llm.toxicity import Kernel, fit, score_column, score_documents, tokens_of, train
+from quillmill.llm.toxicity import Kernel, fit, op9_toxicity, score_column, score_documents, tokens_of, train
 
 INSULTS = ["idiot", "moron", "vequmo", "vequta", "loweiei"]
 
@@ -77,3 +77,48 @@ def test_one_kind_of_label_alone_gives_its_share(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score < 1e-6 for r in score_documents(d, fit(d, none)).collect()} == {True}
     assert train(["x", "y"], [1, 1]).start().score([np.zeros(0)])[0] > 0.99
+
+
+def subsequences(token, decay=0.7):
+    chars, out = "\0" + token, {}
+    for size, most in ((3, 5), (4, 6)):
+        for at in itertools.combinations(range(len(chars)), size):
+            if at[-1] - at[0] + 1 <= most:
+                key = (size, *(chars[i] for i in at))
+                out[key] = out.get(key, 0) + decay ** (at[-1] - at[0] + 1 - size)
+    return out
+
+
+def kernel(a, b):
+    x, y = subsequences(a), subsequences(b)
+    dot = lambda p, q: sum(v * q.get(k, 0) for k, v in p.items())
+    return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
+
+
+def test_decisions_equal_the_landmarks_kernel_sum():
+    """Folded weights against the sum over landmarks of coefficient times kernel, by its definition, and the score
+    against its own formula."""
+    machine = train(*zip(*((t, y) for _, t, y in corpus(1, 120)), strict=True), landmarks=24).start()
+    words = [*INSULTS, "idi.ot", "thering", "anhaed", "zzz"]
+    want = [max(0.0, sum(a * kernel(w, m) for m, a in machine.marks) + machine.bias) for w in words]
+    got = machine.decide(words)
+    assert len(machine.marks) > 10 and np.allclose(got, want, atol=2e-3) and got[:5].min() > 0
+    d = np.sort(got)[::-1]
+    z = np.dot(machine.layer, [1, d[0], d[1], np.log1p(got.sum())])
+    assert np.isclose(machine.score([got])[0], 1 / (1 + np.exp(-z)))
+
+
+def test_letters_of_other_scripts_are_told_apart():
+    assert kernel("дурак", "дурак") == 1
+    k = Kernel()
+    assert len({int(k.code[ord(c)]) for c in "дурак"}) > 1 and k.code[ord("д")] != k.code[ord(".")]
+
+
+def test_the_query_with_null_ids_and_clashing_names(spark, docs, tmp_path):
+    rows = corpus(6, 150)
+    d = docs(*((i, t) for i, t, _ in rows), (None, "idiot moron"), (None, None)).selectExpr("*", "1 AS id", "2 AS _id", "3 AS toxic", "4 AS score")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op9_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 152 and {r.held_out for r in got if r.doc_id is None} == {False}
+    assert all(r.held_out is not None and r.predicted == (r.score >= 0.5) for r in got)
