@@ -1,13 +1,16 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Candidates are found in every whole text; each is hashed, and hashes are counted by distinct repositories and owners
-over the whole corpus. A value that several owners hold is a widely copied example; one that a single owner holds and
-that looks like key material (several character classes, high entropy, no placeholder wording) is live. The decision
-adds a span over the value itself, of kind live or example, beside the base spans, which all stay.
+Candidates are found in every whole text; each is hashed, and hashes are counted by distinct repositories, owners and
+contexts (the 24 characters before a span) over the whole corpus. A value that several owners hold in several contexts
+is a widely copied example; copies of one document, exact or near, give one context, however many owners hold them, so
+they don't make a secret an example. Another value that looks like key material (several character classes, high
+entropy, no placeholder wording) is live. The decision adds a span over the value itself, of kind live or example,
+beside the base spans, which all stay.
 
 Null texts count as empty and give no spans. Null owners or repositories count as one value of their own. Repeated
-rows are scanned each; they share owner and repository, so they don't make a value an example. Offsets are code
-points, end exclusive.
+rows are scanned each; they share owner and context, so they don't make a value an example. Offsets are code points,
+end exclusive. A null id keeps its row. Columns other than the named ones, whatever their names, don't matter. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +58,7 @@ def scanner():
     return scan
 
 
-FOUND = "id long, owner string, repo string, text_hash long, copies long, spans array<struct<kind:int,start:int,end:int,at:int,hash:string,looks:boolean>>"
+FOUND = "id long, owner string, repo string, text_hash long, copies long, spans array<struct<kind:int,start:int,end:int,at:int,hash:string,context:long,looks:boolean>>"
 
 
 def candidates(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repo_col=None) -> DataFrame:
@@ -71,7 +75,7 @@ def candidates(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="sou
             out = [[], [], [], [], [], []]
             for row in zip(ids, texts, owners, repos, hashes, strict=True):
                 if row[1] and (found := scan(row[1])):
-                    spans = [{"kind": k, "start": s, "end": e, "at": a, "hash": hashlib.sha256(v.encode()).hexdigest()[:32], "looks": looks_live(v)} for k, s, e, a, v in found]
+                    spans = [{"kind": k, "start": s, "end": e, "at": a, "hash": hashlib.sha256(v.encode()).hexdigest()[:32], "context": zlib.crc32(row[1][max(0, s - 24) : s].encode("utf-8", "surrogatepass")), "looks": looks_live(v)} for k, s, e, a, v in found]
                     for to, v in zip(out, (row[0], row[2], row[3], row[4], 1, spans), strict=True):
                         to.append(v)
             return out
@@ -82,20 +86,21 @@ def candidates(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="sou
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_repos, n_owners over the whole corpus. Distinct (hash, repository, owner) come first, combined before
-    the shuffle, so a value that a third of all documents hold sends one row for each task and repository."""
-    each = found.select(F.explode("spans.hash").alias("hash"), "repo", "owner").groupBy("hash", "repo", "owner").agg(F.count("*").alias("n"))
-    return each.groupBy("hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"), F.sum("n").alias("n_spans"))
+    """hash, n_repos, n_owners, n_contexts and n_spans over the whole corpus. Distinct (hash, repository, owner,
+    context) come first, combined before the shuffle, so a value that a third of all documents hold sends one row for
+    each task, repository and context."""
+    each = found.select("repo", "owner", F.explode("spans").alias("s")).groupBy(F.col("s.hash").alias("hash"), "repo", "owner", F.col("s.context").alias("context")).agg(F.count("*").alias("n"))
+    return each.groupBy("hash").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"), F.count_distinct("context").alias("n_contexts"), F.sum("n").alias("n_spans"))
 
 
-def classify(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repo_col=None, example_owners: int = 2, salts: int = 16) -> DataFrame:
+def classify(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repo_col=None, example_owners: int = 3, example_contexts: int = 3, salts: int = 16) -> DataFrame:
     """id, text_hash and spans (kind, start, end, at, hash, looks, n_owners, n_repos, verdict: live, example or
     unsure) of each row that has spans."""
     found = durable(candidates(docs, id_col, text_col, owner_col, repo_col), "secrets")
     counts = ownership(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))  # a hot value's rows go to several tasks
     each = found.withColumn("row", F.xxhash64("id", "text_hash")).select("id", "text_hash", "row", F.posexplode("spans").alias("k", "s"))
     each = each.withColumn("hash", F.col("s.hash")).withColumn("salt", F.pmod("row", F.lit(salts)).cast("int"))
-    verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("s.looks"), "live").otherwise("unsure")
+    verdict = F.when((F.col("n_owners") >= example_owners) & (F.col("n_contexts") >= example_contexts), "example").when(F.col("s.looks"), "live").otherwise("unsure")
     told = each.join(counts, ["hash", "salt"]).select("id", "text_hash", F.struct("s.*", "n_owners", "n_repos", verdict.alias("verdict")).alias("s"))
     return told.groupBy("id", "text_hash").agg(F.array_sort(F.array_distinct(F.collect_list("s"))).alias("spans"))
 

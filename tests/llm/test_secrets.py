@@ -23,16 +23,17 @@ def test_base_spans_equal_brute_force():
         assert [s[:3] for s in scan(text)] == brute(text)
 
 
-COPIED, OWN = "token=Zq81kfjw92LmxPq0", "token=hG7dk29sLmQ0vbT4"
+COPIED, OWN, SPREAD = "token=Zq81kfjw92LmxPq0", "token=hG7dk29sLmQ0vbT4", "token=pW5nc83tYaE7zuR6"
 
 
 def rows():
-    return [(i, f"a {COPIED} b", f"s{i % 3}") for i in range(9)] + [(20, f"x {OWN} y", "s1"), (21, f"x {OWN} y", "s1"), (22, None), (23, ""), (24, "clean text"), (None, f"{OWN}", "s1"), (24, "clean text")]
+    return [(i, f"case {i} has {COPIED} b", f"s{i % 3}") for i in range(9)] + [(30 + i, f"one text with {SPREAD} in it {i}", f"s{i}") for i in range(6)] + [(20, f"x {OWN} y", "s1"), (21, f"x {OWN} y", "s1"), (22, None), (23, ""), (24, "clean text"), (None, f"{OWN}", "s1"), (24, "clean text")]
 
 
 def test_copied_values_are_examples_and_owned_ones_live(docs):
     got = {r.id: r.spans for r in classify(docs(*rows())).collect()}
-    assert set(got) == {*range(9), 20, 21, None}
+    assert set(got) == {*range(9), *range(30, 36), 20, 21, None}
+    assert {s.verdict for i in range(30, 36) for s in got[i]} == {"live"} and got[30][0].n_owners == 6  # copies of one text
     assert {s.verdict for i in range(9) for s in got[i]} == {"example"} and got[0][0].n_owners == 3
     assert [s.verdict for s in got[20]] == ["live"] and got[20][0].n_owners == 1
 
@@ -43,7 +44,7 @@ def test_redaction_keeps_rows_columns_and_clean_text(docs):
     assert out.columns == d.columns and out.count() == d.count()
     got = {r.doc_id: r for r in out.collect()}
     assert got[20].text == "x token=[SECRET] y" and got[20].n_chars == len(got[20].text)
-    assert got[0].text == f"a {COPIED} b" and got[24].text == "clean text" and got[22].text is None
+    assert got[0].text == f"case 0 has {COPIED} b" and got[24].text == "clean text" and got[22].text is None
 
 
 def test_query_digests(spark, docs, tmp_path):
