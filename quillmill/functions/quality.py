@@ -21,16 +21,24 @@ ENDINGS = (
 CUT_MARKS = r"(?iU)\b(?:truncated|cut off|\.\.\.\s*more|continued\.\.\.)\b|内容已截断|以下内容省略|余下部分省略"
 
 
-def count(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+def count(c: Column, pattern: str, width: int = 1) -> Column:
+    """Matches of a pattern of fixed width, by what is left without them: a run of matches is one replacement."""
+    return ((F.length(c) - F.length(F.regexp_replace(c, f"(?:{pattern})+", ""))) / width).cast("int")
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value taken once for each row however often use() names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def text_evidence(c: str | Column) -> Column:
     """Printable share of a bounded sample, times 0.3 where under 5 % is alphanumeric; 0 for an empty text."""
-    s = stride_sample(c)
-    n = F.length(s)
-    share = (n - count(s, NOT_PRINTABLE)) / n
-    return F.when(n == 0, 0.0).otherwise(share * F.when(count(s, ALNUM) / n < 0.05, 0.3).otherwise(1.0))
+
+    def share(s: Column) -> Column:
+        n = F.length(s)
+        return F.when(n == 0, 0.0).otherwise((n - count(s, NOT_PRINTABLE)) / n * F.when(count(s, ALNUM) / n < 0.05, 0.3).otherwise(1.0))
+
+    return bound(stride_sample(c), share)
 
 
 def half_up(c: Column) -> Column:
@@ -51,8 +59,9 @@ def text_coverage(c: str | Column, size: str | Column, file_type: str | Column)
 
 def encoding_confidence(c: str | Column) -> Column:
     t = text_of(c)
-    g = (count(t, r"\x{FFFD}") + sum((count(t, p) for p in MOJIBAKE[1:]), count(t, MOJIBAKE[0]))) / F.length(t)
-    return F.when(t == "", 0.0).when(g < 0.01, 100.0).when(g < 0.05, 75.0).when(g < 0.15, 50.0).when(g < 0.3, 25.0).otherwise(0.0)
+    signs = count(t, r"\x{FFFD}") + sum((count(t, p, 2) for p in MOJIBAKE[1:]), count(t, MOJIBAKE[0], 2))
+    level = lambda g: F.when(g < 0.01, 100.0).when(g < 0.05, 75.0).when(g < 0.15, 50.0).when(g < 0.3, 25.0).otherwise(0.0)
+    return F.when(t == "", 0.0).when(~t.rlike(r"[^\x00-\x7F]"), 100.0).otherwise(bound(signs / F.length(t), level))
 
 
 def structure_score(c: str | Column) -> Column:

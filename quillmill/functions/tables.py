@@ -94,6 +94,12 @@ def is_numeric_column(values: Column) -> Column:
     return (F.size(v) >= 2) & F.forall(v, lambda x: x.rlike(NUMERIC_CELL))
 
 
+def numeric_column(cell: Column) -> Column:
+    """is_numeric_column() as an aggregate over rows, one cell each."""
+    v = F.trim(F.coalesce(cell, F.lit("")))
+    return (F.count_if(v != "") >= 2) & F.coalesce(F.bool_and(F.when(v != "", v.rlike(NUMERIC_CELL))), F.lit(False))
+
+
 def markdown(grid: Column) -> Column:
     """The grid as a Markdown table; numeric columns to the right."""
     g = pad(grid)

@@ -103,13 +103,10 @@ def safe_message(c: str | Column, most: int = 400) -> Column:
 
 
 def human_size(c: str | Column) -> Column:
+    """One decimal, ties to the even digit, and a unit of 1,024 steps."""
     n = col(c).cast("double")
-    return (
-        F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
-        .when(n < 1 << 20, F.format_string("%.1f KB", n / 1024))
-        .when(n < 1 << 30, F.format_string("%.1f MB", n / (1 << 20)))
-        .otherwise(F.format_string("%.1f GB", n / (1 << 30)))
-    )
+    text = lambda power, unit: F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**power, 1))
+    return F.when(n < 1024, text(0, "B")).when(n < 1 << 20, text(1, "KB")).when(n < 1 << 30, text(2, "MB")).when(n < 1 << 40, text(3, "GB")).otherwise(text(4, "TB"))
 
 
 def human_duration(c: str | Column) -> Column:

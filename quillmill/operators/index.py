@@ -75,6 +75,17 @@ def query(
     return out.withColumn("mode", mode).orderBy(F.desc("created_at"), "id").limit(max(1, min(500, limit)))
 
 
+def pages(df: DataFrame, size: int = 500, step: int = 3600) -> DataFrame:
+    """All rows of a listing with their page (from 0), newest first as query() has them. Counts by step seconds give
+    each step's first place, so ranks are taken within a step and no task sorts the whole listing."""
+    step_of = F.floor(F.col("created_at") / step).alias("step")
+    counts = df.groupBy(step_of).agg(F.count("*").alias("held"))  # one row for each step
+    before = counts.select("step", (F.sum("held").over(Window.orderBy(F.desc("step"))) - F.col("held")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("step").orderBy(F.desc("created_at"), "id"))
+    placed = df.withColumn("step", step_of).withColumn("rank", rank).join(before, "step")
+    return placed.withColumn("page", F.floor((F.col("before") + F.col("rank") - 1) / size)).drop("step", "rank", "before")
+
+
 def next_cursor(page: list, limit: int) -> tuple[int, str] | None:
     return (page[-1]["created_at"], page[-1]["id"]) if len(page) >= limit else None
 

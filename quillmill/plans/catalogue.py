@@ -203,15 +203,11 @@ def index_filter_page2(spark, sf):
     return index.query(rows, status="completed", cursor=index.next_cursor(page, 50)).select("id", "created_at")
 
 
-@query(f"SELECT id, created_at FROM {LIVE} WHERE status = 'failed'")
+@query(f"SELECT id, created_at, (row_number() OVER ({ORDERED}) - 1) // 500 AS page FROM {LIVE} WHERE status = 'failed'")
 def index_all_pages(spark, sf):
-    """All pages of a listing, read one after another by their cursors."""
-    rows, cursor, found = artifacts(spark, sf).select("id", "created_at", "status", "deleted_at"), None, []
-    while True:
-        page = index.query(rows, status="failed", cursor=cursor, limit=500).collect()
-        found += [(x["id"], x["created_at"]) for x in page]
-        if (cursor := index.next_cursor(page, 500)) is None:
-            return spark.createDataFrame(found, "id string, created_at long")
+    """All pages of a listing."""
+    rows = index.live(artifacts(spark, sf)).where(F.col("status") == "failed")
+    return index.pages(rows.select("id", "created_at"), 500)
 
 
 @query(f"SELECT id, CASE WHEN contains(lower(source_name), 'onb') OR contains(lower(excerpt), 'onb') THEN 'fts' ELSE 'fts+like' END AS mode FROM {LIVE} WHERE contains(lower(source_name), 'onb') OR contains(lower(excerpt), 'onb') OR contains(lower(id), 'onb') {ORDERED} LIMIT 500")
@@ -390,7 +386,7 @@ def md_table(spark, sf):
 def numeric_align(spark, sf):
     bucket = F.substring("source", 4, 9).cast("int") % 5
     v = F.when((bucket == 3) & (F.col("doc_id") % 2 == 1), "n/a").otherwise(F.col("n_chars").cast("string"))
-    return docs(spark, sf).groupBy("source").agg(F.collect_list(v).alias("v")).select("source", tables.is_numeric_column(F.col("v")).alias("numeric"))
+    return docs(spark, sf).groupBy("source").agg(tables.numeric_column(v).alias("numeric"))
 
 
 STRATEGY_KIND = "(CASE doc_id % 6 WHEN 0 THEN 'txt' WHEN 1 THEN 'pdf' WHEN 2 THEN 'csv' WHEN 3 THEN 'image' WHEN 4 THEN 'ppt' ELSE 'unknown' END)"
@@ -502,7 +498,7 @@ def digests(spark, sf):
     return docs(spark, sf).select("doc_id", F.md5("text").alias("m"), F.when(d.contains(":head1mb:"), "head").otherwise(d).alias("digest"))
 
 
-@query("SELECT doc_id, replace(replace(lower(source || ' Part-' || lang), ' ', '-'), '.', '') AS slug, (length(text) * 3 // 4) AS bytes, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', n_chars / 1024.0) END AS size FROM documents")
+@query("SELECT doc_id, replace(replace(lower(source || ' Part-' || lang), ' ', '-'), '.', '') AS slug, (length(text) * 3 // 4) AS bytes, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) ELSE printf('%.1f KB', n_chars / 1024.0) END AS size FROM documents")
 def text_helpers(spark, sf):
     slug = tx.slugify(F.concat(F.col("source"), F.lit(" Part-"), F.col("lang")))
     n = F.floor(F.length("text") * 3 / 4).cast("long")
