@@ -25,4 +25,27 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
 }
-ORACLES: dict[str, str] = {}
+
+GROUPS = (
+    "ends AS (SELECT a, b FROM e UNION SELECT b, a FROM e), "
+    "r(id, root) AS (SELECT {id}, {id} FROM {table} UNION SELECT ends.b, r.root FROM r JOIN ends ON ends.a = r.id WHERE r.root < ends.b), "
+    "g AS (SELECT id, min(root) AS root FROM r GROUP BY 1) "
+)
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+ORACLES: dict[str, str] = {
+    "op3_embeddings": (
+        "WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), "
+        "e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id < q.vec_id WHERE list_cosine_similarity(p.x, q.x) >= 0.9), "
+        + GROUPS.format(id="vec_id", table="embeddings")
+        + "SELECT vec_id, (SELECT count(*) FROM ends WHERE a = vec_id) AS n_links, root AS component_id, vec_id = root AS kept FROM embeddings JOIN g ON vec_id = id"
+    ),
+    "op7_jaccard": (
+        f"WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{LETTERS.upper()}', '{LETTERS}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents), "
+        "s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w), "
+        "n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), "
+        "p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2), "
+        "e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)), "
+        + GROUPS.format(id="doc_id", table="documents")
+        + "SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN g ON d.doc_id = id"
+    ),
+}
