@@ -91,24 +91,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     number of rounds grows with the logarithm of a component's diameter and no component meets in one task: a star's
     leaves are the only rows that share a key, and they are combined by min() before the shuffle."""
     cur = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = None
     for _ in range(rounds):
         # large star: every larger neighbour of a node points to the smallest of the node's neighbourhood
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = cur.join(low.withColumnRenamed("n", "b"), "b").select("a", F.col("m").alias("b"))
-        large = durable(large.where("a <> b").distinct(), "edges")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+        large = durable(cur.join(low, "b").select("a", F.col("m").alias("b")), "edges")
         # small star: a node and its smaller neighbours point to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         nxt = durable(small.where("a <> b").distinct(), "edges")
-        now = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         drop_durable(cur, large)
         cur = nxt
-        if now == last:
+        # settled when every node points to one root that points nowhere: another round would change nothing then
+        ends = cur.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(cur.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
-        last = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return cur.select(F.col("a").alias("id"), F.col("b").alias("root")).union(cur.select("b", "b").distinct())
