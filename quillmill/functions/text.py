@@ -1,10 +1,17 @@
-"""Text functions as Column expressions (JVM side, no Python in the plan)."""
+"""Text functions as Column expressions (JVM side; only text_similarity has Python in its plan, in Arrow batches)."""
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How list items and new paragraphs of recognised text start (digits as Python's isdigit takes them).
+OCR_LIST = r"^(?:[•*·-]|[0-9]\.|\([123]\)|[①②③]|[一二三四五]、)"
+OCR_START = r"^(?:#|[\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐]|\p{IsUppercase}|[一二三四五六七八九十])"
+
 # Java's classes for what Python calls printable and alphanumeric; see SURVEY 0.3 for where the two differ.
 NOT_PRINTABLE = r"[\p{C}\p{Z}\x{FFFD}&&[^ \n\r\t]]"
 ALNUM = r"[\p{L}\p{N}]"
@@ -204,3 +211,60 @@ def format_output(content: str | Column, kind: str, structured: Column | None =
             t = F.replace(t, F.lit(a), F.lit(b))
         return F.concat(F.lit("<div class='converted-content'><p>"), t, F.lit("</p></div>"))
     return t
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def text_similarity(a: str | Column, b: str | Column) -> Column:
+    """How alike two texts are without their case and spaces, by matching blocks: 0 to 1. Empty or null texts give 0."""
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if p == q else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    bare = lambda c: F.replace(F.lower(text_of(c)), F.lit(" "), F.lit(""))
+    x, y = bare(a), bare(b)
+    return F.when((x == "") | (y == ""), 0.0).otherwise(ratio(x, y))
+
+
+def ocr_table_line(line: Column) -> Column:
+    """Whether a line of recognised text looks like a row of a table: tabs, two pipes, or 2 to 10 parts between gaps."""
+    parts = F.size(F.filter(F.split(line, "  "), lambda p: stripped(p) != ""))
+    return F.contains(line, F.lit("\t")) | line.rlike(r"\|[^|]*\|") | parts.between(2, 10)
+
+
+def ocr_table_row(line: Column) -> Column:
+    cells = lambda by: F.transform(F.split(line, by), stripped)
+    held = lambda by: F.filter(cells(by), lambda c: c != "")
+    row = F.when(F.contains(line, F.lit("|")), held(r"\|")).when(F.contains(line, F.lit("\t")), cells("\t")).otherwise(held("  "))
+    return F.array_join(row, " | ")
+
+
+def ocr_paragraphs(c: str | Column) -> Column:
+    """Recognised text with its broken lines joined: paragraphs, list items and tables apart by a blank line. One fold
+    over the lines; null stays null."""
+    listed = lambda s: s.rlike(OCR_LIST)
+    # each line is looked at once, outside the fold
+    lines = F.transform(
+        F.split(col(c), "\n"),
+        lambda raw: F.struct(
+            stripped(raw).alias("s"), ocr_table_line(raw).alias("raw_table"), ocr_table_line(stripped(raw)).alias("table"),
+            listed(stripped(raw)).alias("item"), (stripped(raw).rlike(OCR_START) | listed(stripped(raw))).alias("start"), ocr_table_row(stripped(raw)).alias("row"),
+        ),
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        on, out = acc["on"], acc["out"]
+        gap = F.when(acc["any"], "\n\n").otherwise("")
+        state = lambda text, kind, some=True: F.struct(text.alias("out"), F.lit(kind).alias("on"), (F.lit(True) if some else acc["any"]).alias("any"))
+        return (
+            F.when((on == "table") & x["raw_table"], state(F.concat(out, F.lit("\n"), x["row"]), "table"))
+            .when(x["s"] == "", state(out, "", False))
+            .when((on == "text") & ~x["start"], state(F.concat(out, F.lit(" "), x["s"]), "text"))
+            .when(x["table"], state(F.concat(out, gap, x["row"]), "table"))
+            .when(x["item"], state(F.concat(out, gap, x["s"]), ""))
+            .otherwise(state(F.concat(out, gap, x["s"]), "text"))
+        )
+
+    return F.aggregate(lines, F.struct(F.lit("").alias("out"), F.lit("").alias("on"), F.lit(False).alias("any")), step, lambda acc: acc["out"])

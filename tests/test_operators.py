@@ -1,3 +1,4 @@
+import difflib
 import random
 
 import pytest
@@ -61,6 +62,38 @@ def test_tables_over_pages(spark):
     assert got[1, 1] == (3, [["a", "1"], ["b", "2"], ["c", "3"], ["d", "4"]]) and got[1, 5][0] == 1 and got[2, 1][0] == got[2, 2][0] == 1
 
 
+def test_text_similarity(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abC 标") for _ in range(rng.randrange(12)))
+    rows = [(word(), word()) for _ in range(60)] + [(None, "a"), ("", ""), ("A b", "aB"), ("name n", "name m")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", tx.text_similarity("a", "b").alias("r")).collect()
+    for r in got:
+        x, y = ((t or "").lower().replace(" ", "") for t in (r.a, r.b))
+        want = difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+        assert r.r == want, (r.a, r.b)
+
+
+@pytest.mark.parametrize(
+    ("text", "out"),
+    [
+        (None, None),
+        ("", ""),
+        (" \n\t\n", ""),
+        ("this line is\nbroken here.\nNew one", "this line is broken here.\n\nNew one"),
+        ("one\n\n\ntwo", "one\n\ntwo"),
+        ("- a\n- b\nrest of\nit", "- a\n\n- b\n\nrest of it"),
+        ("a\tb\n c\t\td \n\nend", "a | b\nc |  | d\n\nend"),
+        ("| a | b |\n| c | d |\nend", "a | b\nc | d\n\nend"),
+        ("name  age\nbob  7", "name | age\nbob | 7"),
+        ("text\nx  y", "text x  y"),
+        ("标题\n一、甲\n二、乙", "标题\n\n一、甲\n\n二、乙"),
+        ("# t\n²x", "# t\n\n²x"),
+    ],
+)
+def test_ocr_paragraphs(spark, text, out):
+    assert one(spark, tx.ocr_paragraphs("t"), t=text) == out
+
+
 def test_text_functions(spark):
     assert one(spark, tx.escape_md_cell("t"), t="a|b\\|c\\\\|d\ne") == "a\\|b\\|c\\\\\\|d<br>e"
     assert one(spark, tx.slugify("t"), t=" A b.C 标题! ") == "a-bc-标题"
