@@ -10,6 +10,8 @@ from quillmill.llm.lm import op2_lm
 from quillmill.llm.media import op10_media
 from quillmill.llm.neardup import op3_embeddings
 from quillmill.llm.packing import op5_packing
+from quillmill.llm.rules import ORACLE as RULES_SQL
+from quillmill.llm.rules import op11_quality
 from quillmill.llm.secrets import op4_secrets
 from quillmill.llm.toxicity import op9_toxicity
 
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_linededup": op8_linededup,
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
+    "op11_quality": op11_quality,
 }
 
 GROUPS = (
@@ -48,4 +51,5 @@ ORACLES: dict[str, str] = {
         + GROUPS.format(id="doc_id", table="documents")
         + "SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN g ON d.doc_id = id"
     ),
+    "op11_quality": RULES_SQL,
 }
