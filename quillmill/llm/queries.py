@@ -9,7 +9,11 @@ from quillmill.llm.linededup import op8_linededup
 from quillmill.llm.lm import op2_lm
 from quillmill.llm.media import op10_media
 from quillmill.llm.neardup import op3_embeddings
+from quillmill.llm.negatives import ORACLE as NEGATIVES_SQL
+from quillmill.llm.negatives import op13_negatives
 from quillmill.llm.packing import op5_packing
+from quillmill.llm.resample import ORACLE as RESAMPLE_SQL
+from quillmill.llm.resample import op12_resample
 from quillmill.llm.rules import ORACLE as RULES_SQL
 from quillmill.llm.rules import op11_quality
 from quillmill.llm.secrets import op4_secrets
@@ -27,6 +31,8 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_media": op10_media,
     "op11_quality": op11_quality,
+    "op12_resample": op12_resample,
+    "op13_negatives": op13_negatives,
 }
 
 GROUPS = (
@@ -52,4 +58,6 @@ ORACLES: dict[str, str] = {
         + "SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN g ON d.doc_id = id"
     ),
     "op11_quality": RULES_SQL,
+    "op12_resample": RESAMPLE_SQL,
+    "op13_negatives": NEGATIVES_SQL,
 }

@@ -141,7 +141,7 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, stop_words: Sequence[s
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, stop_words: Sequence[str] = STOP_WORDS, text_col: str = "text") -> DataFrame:
     """docs that judge() keeps, all columns as they are."""
-    verdict = judge(docs.select(F.struct("*").alias("id"), F.col(text_col).alias("text")), rules, stop_words, text_col="text")
+    verdict = judge(docs.select(F.struct("*").alias("id"), F.col(text_col).alias("text")), rules, stop_words, "id", "text")
     return verdict.where("kept").select("id.*")
 
 
