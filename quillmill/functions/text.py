@@ -22,6 +22,24 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: within a lambda an expression is computed again for each element, while a
+    lambda's variable is a value."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def grams_of(text: Column, n: int | Column = 3) -> Column:
+    """The distinct runs of n (1 to 3) characters of a text."""
+    size = F.lit(n) if isinstance(n, int) else n
+
+    def runs(chars: Column) -> Column:
+        held = F.size(chars)
+        run = lambda i: F.concat(F.get(chars, i), F.when(size > 1, F.get(chars, i + 1)).otherwise(F.lit("")), F.when(size > 2, F.get(chars, i + 2)).otherwise(F.lit("")))
+        return F.when(held >= size, F.array_distinct(F.transform(F.sequence(F.lit(0), held - size), run))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), runs)
+
+
 def text_of(c: str | Column) -> Column:
     """The column with null as empty text."""
     return F.coalesce(col(c), F.lit(""))

@@ -20,7 +20,7 @@ def parts_of(path: str | Column) -> tuple[Column, Column, Column]:
     return F.substring(p, F.lit(1), F.length(p) - F.length(name)), F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r".\.([^.]*)$", 1)
 
 
-def plan_outputs(files: DataFrame, ext: str, source_dir: str | None = None, salts: int = 8) -> DataFrame:
+def plan_outputs(files: DataFrame, ext: str, source_dir: str | None = None, salts: int = 2) -> DataFrame:
     """files (path) with out: mirrored under source_dir if it is given, else <stem><ext>. Names that differ only in
     case clash; clashing ones get the source's extension, and what still clashes gets 8 digits of a hash of the path,
     salted until the name is free. Counts of names are windows over the name, so each clash is settled where it meets;

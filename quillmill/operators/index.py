@@ -1,16 +1,16 @@
 """The artifact index: statistics, filters, search, keyset pages, upserts, duplicates, retention.
 
-The functions take and give DataFrames; ArtifactIndex keeps them as a Parquet table, generation by generation, so that
-no write touches files that a reader holds. One writer at a time."""
+The functions take and give DataFrames; ArtifactIndex keeps them as a table of buckets with trigram postings beside it,
+generation by generation: a write touches the buckets of its ids alone, and no file that a reader holds."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import cut, file_digest, id_time, search_term, text_of
+from quillmill.functions.text import cut, file_digest, grams_of, id_time, search_term, text_of
+from quillmill.sources.segments import Segments
+from quillmill.sources.tables import checkpointed, dropped
 
 EXCERPT = 4096
 SCHEMA = (
@@ -90,11 +90,10 @@ def next_cursor(page: list, limit: int) -> tuple[int, str] | None:
     return (page[-1]["created_at"], page[-1]["id"]) if len(page) >= limit else None
 
 
-def postings(df: DataFrame, n: int = 3) -> DataFrame:
-    """gram, id: for repeated searches over many rows; candidates() meets them before the text is looked at."""
+def postings(df: DataFrame) -> DataFrame:
+    """gram, id: the trigrams of name and excerpt; candidates() meets them before the text is looked at."""
     t = F.lower(F.concat_ws("\x1f", text_of("source_name"), F.substring(text_of("excerpt"), 1, EXCERPT)))
-    grams = F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
-    return df.select("id", F.explode(grams).alias("gram"))
+    return df.select("id", F.explode(grams_of(t)).alias("gram"))
 
 
 def candidates(posted: DataFrame, term: str, n: int = 3) -> DataFrame:
@@ -165,21 +164,44 @@ def retention(df: DataFrame, now: int, days: int = 7, most_bytes: int = 500 << 2
 
 
 def resolve(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (ref) with the id that it names: the id itself, else an id's start, else a file name, else the newest
-    row whose excerpt holds it. Each step looks only for what the steps before left."""
+    """wanted (ref) with the id that it names: the id itself, else an id's start (4 characters or more), else a file name
+    (case apart), else the newest row whose excerpt holds it (case apart). Each step looks only for what the steps before
+    left, and each is a join on equal keys: a start is one of the lengths that refs have, and text is met by the ref's
+    rarest trigram (the whole of a shorter ref) before it is looked at."""
     d = live(df)
-    left, found = wanted.select("ref").distinct(), None
-    newest = lambda rows: rows.groupBy("ref").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))
-    for how, on in (
-        ("exact", F.col("id") == F.col("ref")), ("prefix", F.col("id").startswith(F.col("ref")) & (F.length("ref") >= 4)),
-        ("name", F.lower("source_name") == F.lower("ref")), ("content", F.contains(F.lower(text_of("excerpt")), F.lower("ref"))),
-    ):
-        hit = newest(left.join(d.select("id", "created_at", "source_name", "excerpt"), on)).withColumn("how", F.lit(how))
+    newest = lambda rows, how: rows.groupBy("ref").agg(F.max_by("id", F.struct("created_at", "id")).alias("id")).withColumn("how", F.lit(how))
+    left = checkpointed(wanted.where(F.col("ref").isNotNull()).select("ref").distinct(), "refs")
+    sizes = sorted({r[0] for r in left.select(F.length("ref")).distinct().collect() if 4 <= r[0] <= LONGEST_ID})  # bounded by LONGEST_ID
+    ids = d.select("id", "created_at")
+    begun = ids.select("id", "created_at", F.explode(F.array(*(F.when(F.length("id") > n, F.substring("id", 1, n)) for n in sizes)) if sizes else F.array().cast("array<string>")).alias("ref")).where(F.col("ref").isNotNull())
+    steps = [("exact", lambda: left.join(ids.withColumn("ref", F.col("id")), "ref")), ("prefix", lambda: left.join(begun, "ref"))]
+    steps.append(("name", lambda: left.withColumn("_n", F.lower("ref")).join(d.select("id", "created_at", F.lower("source_name").alias("_n")), "_n")))
+    steps.append(("content", lambda: _holding(left, d)))
+    found = None
+    for how, rows in steps:
+        hit = checkpointed(newest(rows(), how), "hits")
         found = hit if found is None else found.unionByName(hit)
         left = left.join(hit.select("ref"), "ref", "left_anti")
     return found
 
 
+LONGEST_ID = 64
+
+
+def _holding(refs: DataFrame, rows: DataFrame) -> DataFrame:
+    """ref, id, created_at where the row's excerpt holds the ref."""
+    n = F.least(F.lit(3), F.length("_r"))
+    asked = refs.where("ref <> ''").withColumn("_r", F.lower("ref")).select("ref", "_r", F.explode(grams_of(F.col("_r"), n)).alias("gram"))
+    texts = rows.select("id", "created_at", F.lower(text_of("excerpt")).alias("_t"))
+    sizes = [r[0] for r in asked.select(F.length("gram")).distinct().collect()]  # 1, 2 and 3 at most
+    held = texts.select("id", F.explode(F.array_distinct(F.flatten(F.array(*(grams_of(F.col("_t"), k) for k in sizes)))) if sizes else F.array().cast("array<string>")).alias("gram"))
+    held = held.join(asked.select("gram").distinct(), "gram", "left_semi")
+    counts = held.groupBy("gram").agg(F.count("*").alias("k"))
+    rarest = asked.join(counts, "gram").groupBy("ref", "_r").agg(F.min_by("gram", F.struct("k", "gram")).alias("gram"), F.count("*").alias("known"), F.first(F.size(grams_of(F.col("_r"), n))).alias("all"))
+    met = rarest.where(F.col("known") == F.col("all")).join(held, "gram")  # a gram that no text holds: nothing holds the ref
+    return met.join(texts, "id").where(F.contains("_t", "_r")).select("ref", "id", "created_at")
+
+
 def sibling_sources(artifacts: DataFrame, files: DataFrame) -> DataFrame:
     """id, path: the first file (by name) of each artifact's stem."""
     stem = lambda c: F.lower(F.regexp_replace(F.regexp_extract(c, r"[^/\\]*$", 0), r"\.[^.]*$", ""))
@@ -219,73 +241,160 @@ def preferences(given: dict[str, str]) -> dict[str, str]:
     return out
 
 
-class ArtifactIndex:
-    """The index as a folder of generations; `current` names the newest. An event is logged for each write."""
+def bucket_of(column: str | Column, buckets: int) -> Column:
+    """A number below buckets, the same one that crc32 gives anywhere."""
+    return F.pmod(F.crc32(F.col(column) if isinstance(column, str) else column), F.lit(buckets)).cast("int")
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+POSTING = "gram string, field int, id string, sign int"
 
-    def _generations(self) -> list[str]:
-        p, fs = self._fs(f"{self.path}/artifacts")
-        if not fs.exists(p):
-            return []
-        done = [s.getPath() for s in fs.listStatus(p) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(str(x.toString()) for x in done)
 
-    def rows(self) -> DataFrame:
-        done = self._generations()
-        return self.spark.read.schema(SCHEMA).parquet(done[-1]) if done else self.spark.createDataFrame([], SCHEMA)
+def index_postings(rows: DataFrame, sign: int) -> DataFrame:
+    """POSTING of rows: the trigrams of name and excerpt (field 0) and of the id (field 1)."""
+    t = F.lower(F.concat_ws("\x1f", text_of("source_name"), F.substring(text_of("excerpt"), 1, EXCERPT)))
+    fields = F.array(F.struct(F.lit(0).alias("field"), grams_of(t).alias("g")), F.struct(F.lit(1).alias("field"), grams_of(F.lower(text_of("id"))).alias("g")))
+    return rows.select("id", F.explode(fields).alias("f")).select(F.explode("f.g").alias("gram"), "f.field", "id", F.lit(sign).alias("sign"))
 
-    def write(self, rows: DataFrame, kind: str, keep: int = 3) -> None:
-        done = self._generations()
-        n = int(done[-1].rsplit("g", 1)[-1]) + 1 if done else 1
-        rows.write.parquet(f"{self.path}/artifacts/g{n:08d}")
-        self.spark.createDataFrame([(kind, n)], "kind string, generation int").withColumn("ts", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/events")
-        for old in done[: max(0, len(done) + 1 - keep)]:
-            p, fs = self._fs(old)
-            fs.delete(p, True)
 
-    def upsert(self, new: DataFrame, now: int) -> None:
-        self.write(upsert(self.rows(), new, now), "index")
+class ArtifactIndex:
+    """The index as a folder of segments (see sources/segments.py). Rows lie in buckets by their id, trigram postings in
+    buckets by their gram. A batch rewrites the row buckets of its ids and appends what changes to the gram buckets of
+    its texts: a posting has the sign 1 where a text begins to hold a gram and -1 where it ends, and holds where its
+    signs add up to 1. A gram bucket of more than most_segments segments is folded into one with the next batch that
+    touches it. Rows and postings of a generation are committed together.
 
-    def reindex(self, path: str, now: int) -> dict[str, int]:
-        scanned = self.spark.read.format("binaryFile").load(path).count()
-        found = read_artifacts(self.spark, path)
-        n = found.count()
-        self.upsert(found, now)
-        return {"scanned": scanned, "indexed": n, "skipped": scanned - n}
+    A batch may carry (writer, number): one whose number is not above the writer's last is left out, so a batch that is
+    written again changes nothing. Two writers at once: the later commit raises Conflict and has changed nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, gram_buckets: int = 32, most_segments: int = 8):
+        self.spark, self.files, self.most_segments = spark, Segments(spark, path), most_segments
+        self._new = {"generation": 0, "buckets": buckets, "gram_buckets": gram_buckets, "rows": {}, "grams": {}, "applied": {}}
+
+    def _now(self) -> dict:
+        return self.files.manifest() or self._new
+
+    def _rows(self, m: dict, buckets: list[int] | None = None) -> DataFrame:
+        return self.files.read([s for b, s in sorted(m["rows"].items()) if buckets is None or int(b) in buckets], SCHEMA)
+
+    def _postings(self, m: dict, buckets: list[int] | None = None) -> DataFrame:
+        held = [s for b, of in sorted(m["grams"].items()) if buckets is None or int(b) in buckets for s in of]
+        signs = self.files.read(held, POSTING).groupBy("gram", "field", "id").agg(F.sum("sign").cast("int").alias("sign"))
+        return signs.where("sign > 0")
+
+    def rows(self) -> DataFrame:
+        return self._rows(self._now())
+
+    def postings(self) -> DataFrame:
+        return self._postings(self._now()).select("gram", "field", "id")
+
+    def get(self, ident: str) -> DataFrame:
+        """The row of an id: reads its bucket only."""
+        m = self._now()
+        return self._rows(m, self._buckets(self.spark.range(1).select(F.lit(ident).alias("id")), m)).where(F.col("id") == ident)
+
+    @staticmethod
+    def _buckets(ids: DataFrame, m: dict) -> list[int]:
+        return [r[0] for r in ids.select(bucket_of("id", m["buckets"]).alias("b")).distinct().collect()]  # a number for each bucket at most
+
+    def _commit(self, m: dict, kind: str, now: int | None, rows: dict | None = None, grams: dict | None = None, applied: tuple[str, int] | None = None) -> None:
+        after = dict(m, generation=m["generation"] + 1, kind=kind, at=now, touched=sorted(map(int, rows or {})))
+        after["rows"] = m["rows"] | (rows or {})
+        after["grams"] = m["grams"] | (grams or {})
+        after["applied"] = m["applied"] | ({applied[0]: applied[1]} if applied else {})
+        self.files.commit(after)
+
+    def upsert(self, new: DataFrame, now: int, batch: tuple[str, int] | None = None) -> bool:
+        """Whether anything was written: not if the batch has been applied before, or is empty."""
+        m = self._now()
+        if batch and m["applied"].get(batch[0], -1) >= batch[1]:
+            return False
+        new = checkpointed(new, "batch")
+        ids, touched = new.select("id").distinct(), self._buckets(new, m)
+        if not touched:
+            return False
+        old = self._rows(m, touched)
+        rows = self.files.write(upsert(old, new, now).withColumn("bucket", bucket_of("id", m["buckets"])), "bucket", "rows")
+        fresh = self._rows(dict(m, rows=rows))
+        change = index_postings(old.join(ids, "id", "left_semi"), -1).union(index_postings(fresh.join(ids, "id", "left_semi"), 1))
+        change = change.groupBy("gram", "field", "id").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
+        change = self.files.write(change.withColumn("bucket", bucket_of("gram", m["gram_buckets"])), "bucket", "grams")
+        grams = {b: [*m["grams"].get(b, []), s] for b, s in change.items()}
+        self._commit(m, "upsert", now, rows, self._folded(grams, self.most_segments, m["gram_buckets"]), batch)
+        dropped(new)
+        return True
+
+    def _folded(self, grams: dict[str, list[str]], most: int, n: int) -> dict[str, list[str]]:
+        """grams with one segment in place of more than `most`."""
+        full = {b: s for b, s in grams.items() if len(s) > most}
+        if not full:
+            return grams
+        held = self._postings({"grams": full}).withColumn("bucket", bucket_of("gram", n))
+        made = self.files.write(held, "bucket", "grams")
+        return grams | {b: [made[b]] if b in made else [] for b in full}
+
+    def _mark(self, ids: DataFrame, column: str, value: int | None, kind: str) -> None:
+        m = self._now()
+        ids = checkpointed(ids.select("id").distinct(), "ids")
+        touched = self._buckets(ids, m)
+        marked = mark(self._rows(m, touched), ids, column, value).withColumn("bucket", bucket_of("id", m["buckets"]))
+        self._commit(m, kind, value, self.files.write(marked, "bucket", "rows"))
+        dropped(ids)
 
     def delete(self, ids: DataFrame, now: int) -> None:
-        self.write(mark(self.rows(), ids, "deleted_at", now), "delete")
+        self._mark(ids, "deleted_at", now, "delete")
 
     def undelete(self, ids: DataFrame) -> None:
-        self.write(mark(self.rows(), ids, "deleted_at", None), "undelete")
+        self._mark(ids, "deleted_at", None, "undelete")
 
     def retire(self, ids: DataFrame, now: int) -> None:
-        self.write(mark(self.rows(), ids, "retired_at", now), "retire")
+        self._mark(ids, "retired_at", now, "retire")
 
     def prune(self, files: DataFrame, now: int) -> None:
         self.retire(vanished(self.rows(), files), now)
 
+    def reindex(self, path: str, now: int) -> dict[str, int]:
+        scanned = self.spark.read.format("binaryFile").load(path).count()
+        found = read_artifacts(self.spark, path)
+        n = found.count()
+        self.upsert(found, now)
+        return {"scanned": scanned, "indexed": n, "skipped": scanned - n}
+
+    def found(self, term: str) -> DataFrame:
+        """Rows that hold all trigrams of a term in their name and excerpt, or in their id. Reads the gram buckets of the
+        term's grams, and of the rows the buckets that these name."""
+        m = self._now()
+        t = F.lower(F.lit(search_term(term)))
+        asked = self.spark.range(1).select(F.explode(grams_of(t)).alias("gram")).select("gram", bucket_of("gram", m["gram_buckets"]).alias("b")).collect()  # the term's own
+        held = self._postings(m, [r.b for r in asked]).where(F.col("gram").isin([r.gram for r in asked]))
+        ids = held.groupBy("field", "id").agg(F.count("*").alias("k")).where(F.col("k") == len(asked)).select("id").distinct()
+        ids = checkpointed(ids, "found")
+        return self._rows(m, self._buckets(ids, m)).join(ids, "id", "left_semi").select(*(x.rsplit(" ", 1)[0] for x in SCHEMA.split(", ")))
+
+    def search(self, term: str) -> DataFrame:
+        """All live rows that hold a term (three characters or more), with their mode."""
+        return live(self.found(term)).where(matches(term)).withColumn("mode", F.when(matches(term, ident=None), "fts").otherwise("fts+like"))
+
+    def query(self, q: str | None = None, **options) -> DataFrame:
+        """A page as query() gives it; terms of three characters and more go by the postings."""
+        return query(self.found(q) if q and len(search_term(q)) >= 3 else self.rows(), q=q, **options)
+
+    def events(self) -> DataFrame:
+        """generation, kind, at and touched (numbers of row buckets): one row for each commit that is still kept."""
+        return self.spark.read.schema("generation long, kind string, at long, touched array<int>").json(f"{self.files.path}/manifests").where("generation is not null")
+
     def backup(self, path: str) -> None:
         self.rows().write.parquet(path)
 
-    def vacuum(self) -> None:
-        """One compact generation."""
-        self.write(self.rows().repartition(1 + self.rows().count() // 1_000_000), "vacuum", keep=1)
-
-    def query(self, **options) -> DataFrame:
-        return query(self.rows(), **options)
+    def vacuum(self, keep: int = 1) -> None:
+        """Folds all postings and deletes what only older generations hold."""
+        m = self._now()
+        grams = self._folded(m["grams"], 1, m["gram_buckets"])
+        if grams != m["grams"]:
+            self._commit(m, "vacuum", None, grams=grams)
+        self.files.sweep(keep, lambda k: [*k["rows"].values(), *(s for of in k["grams"].values() for s in of)])
 
 
 def new_row(df: DataFrame, content: str, name: str, size: str) -> DataFrame:
     """df with id, digest and excerpt as the index wants them."""
     return df.withColumn("id", F.concat(F.lit("cvt"), F.date_format(F.current_timestamp(), "yyyyMMddHHmmss"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 6))).withColumn("sha256", file_digest(content)).withColumn("source_name", F.col(name)).withColumn("source_size", F.col(size))
 
-
-def temporary_name(prefix: str) -> str:
-    return f"{prefix}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ out. Queries run over whole tables."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import quality, tables
 from quillmill.functions import text as tx
 from quillmill.operators import batch, chunk, convert, detect, diff, index, structure
+from quillmill.sources.tables import shared_folder
 from quillmill.streaming import inbox
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -225,11 +227,81 @@ def search_substring_excerpt(spark, sf):
     return artifacts(spark, sf).where(index.matches("ation", ident=None)).select("id")
 
 
-@query(f"SELECT id FROM {ARTIFACTS} WHERE contains(lower(excerpt), 'whether') OR contains(lower(source_name), 'whether')")
+@query(f"SELECT id FROM {ARTIFACTS} WHERE contains(lower(excerpt), 'on the') OR contains(lower(source_name), 'on the')")
 def search_postings(spark, sf):
     """By trigram postings first, then by looking."""
     rows = artifacts(spark, sf)
-    return rows.join(index.candidates(index.postings(rows), "whether"), "id", "left_semi").where(index.matches("whether", ident=None)).select("id")
+    return rows.join(index.candidates(index.postings(rows), "on the"), "id", "left_semi").where(index.matches("on the", ident=None)).select("id")
+
+
+def index_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Artifacts with all columns of an index and doc_id."""
+    rows = artifacts(spark, sf).withColumn("doc_id", F.substring("id", 4, 12).cast("long"))
+    fields = [x.rsplit(" ", 1) for x in index.SCHEMA.split(", ")]
+    return rows.select("doc_id", *((F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in fields))
+
+
+def new_index(spark: SparkSession) -> index.ArtifactIndex:
+    return index.ArtifactIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+NUMBERED = ARTIFACTS.replace("(SELECT ", "(SELECT doc_id, ", 1)
+
+
+@query(
+    "SELECT id, CASE WHEN doc_id % 3 <> 0 THEN 'new' ELSE status END AS status, CASE WHEN doc_id % 3 = 0 THEN sha256 WHEN doc_id % 5 <> 0 THEN 'h' || sha256 WHEN doc_id % 2 = 0 THEN sha256 END AS sha256, "
+    "CASE WHEN doc_id % 2 = 0 THEN created_at ELSE created_at + 7 END AS created_at, CASE WHEN doc_id % 3 <> 0 THEN 1900000002 ELSE 1900000001 END AS updated_at, "
+    f"CASE WHEN doc_id % 17 = 0 THEN 1900000003 END AS deleted_at, CASE WHEN doc_id % 19 = 0 THEN 1900000004 END AS retired_at, chars FROM {NUMBERED} WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0"
+)
+def index_batches(spark, sf):
+    """An index after two batches (the second of them twice), a delete and a retirement."""
+    rows, ix, i = index_rows(spark, sf), new_index(spark), F.col("doc_id")
+    again = rows.where(i % 3 != 0).withColumns({"status": F.lit("new"), "sha256": F.when(i % 5 != 0, F.concat(F.lit("h"), F.col("sha256"))), "created_at": F.col("created_at") + 7}).drop("doc_id")
+    ix.upsert(rows.where(i % 2 == 0).drop("doc_id"), 1_900_000_001, ("lister", 1))
+    ix.upsert(again, 1_900_000_002, ("lister", 2))
+    ix.upsert(again.withColumn("status", F.lit("never written")), 1_900_000_009, ("lister", 2))
+    ix.delete(rows.where(i % 17 == 0).select("id"), 1_900_000_003)
+    ix.retire(rows.where(i % 19 == 0).select("id"), 1_900_000_004)
+    return ix.rows().select("id", "status", "sha256", "created_at", "updated_at", "deleted_at", "retired_at", "chars")
+
+
+CHANGED = f"(SELECT id, source_name, CASE WHEN doc_id % 3 = 0 THEN replace(excerpt, 'ti', 'XX') ELSE excerpt END AS excerpt FROM {NUMBERED} WHERE doc_id % 23 <> 0)"
+
+
+@query(f"SELECT id, 'fts' AS mode FROM {CHANGED} WHERE contains(lower(source_name), 'ation') OR contains(lower(excerpt), 'ation') UNION ALL SELECT id, 'fts+like' FROM {CHANGED} WHERE contains(id, '00000012') AND NOT contains(lower(source_name), 'ation') AND NOT contains(lower(excerpt), 'ation')")
+def index_search(spark, sf):
+    """Searches in an index by its postings, after a batch that changed a third of the texts and a delete: a term of the
+    texts, and the start of some ids."""
+    rows, ix, i = index_rows(spark, sf), new_index(spark), F.col("doc_id")
+    ix.upsert(rows.drop("doc_id"), 1_900_000_001)
+    ix.upsert(rows.where(i % 3 == 0).withColumn("excerpt", F.replace("excerpt", F.lit("ti"), F.lit("XX"))).drop("doc_id"), 1_900_000_002)
+    ix.delete(rows.where(i % 23 == 0).select("id"), 1_900_000_003)
+    by_text = ix.search("ation").select("id", "mode")
+    return by_text.union(ix.search("00000012").select("id", "mode").join(by_text.select("id"), "id", "left_anti"))
+
+
+REFS = (
+    "(SELECT 'cvt' || lpad(doc_id::VARCHAR, 12, '0') AS ref FROM documents WHERE doc_id % 97 = 1 UNION SELECT 'cvt' || lpad((doc_id // 10)::VARCHAR, 11, '0') FROM documents WHERE doc_id % 97 = 2 "
+    "UNION SELECT upper('doc_' || doc_id || '.txt') FROM documents WHERE doc_id % 97 = 3 UNION SELECT upper(text[20:29]) FROM documents WHERE doc_id % 97 = 4 UNION SELECT text[3:4] FROM documents WHERE doc_id % 97 = 5 UNION SELECT 'no such' || doc_id FROM documents WHERE doc_id % 97 = 6)"
+)
+NEWEST = "arg_max(id, struct_pack(c := created_at, i := id))"
+
+
+@query(
+    f"WITH r AS {REFS}, a AS (SELECT * FROM {LIVE}), e AS (SELECT ref, {NEWEST} AS id, 'exact' AS how FROM r JOIN a ON id = ref GROUP BY 1), "
+    f"p AS (SELECT ref, {NEWEST} AS id, 'prefix' AS how FROM r JOIN a ON starts_with(id, ref) AND length(ref) >= 4 WHERE ref NOT IN (SELECT ref FROM e) GROUP BY 1), "
+    f"n AS (SELECT ref, {NEWEST} AS id, 'name' AS how FROM r JOIN a ON lower(source_name) = lower(ref) WHERE ref NOT IN (SELECT ref FROM e UNION ALL SELECT ref FROM p) GROUP BY 1), "
+    f"c AS (SELECT ref, {NEWEST} AS id, 'content' AS how FROM r JOIN a ON contains(lower(excerpt), lower(ref)) WHERE ref <> '' AND ref NOT IN (SELECT ref FROM e UNION ALL SELECT ref FROM p UNION ALL SELECT ref FROM n) GROUP BY 1) "
+    "SELECT * FROM e UNION ALL SELECT * FROM p UNION ALL SELECT * FROM n UNION ALL SELECT * FROM c"
+)
+def resolve_refs(spark, sf):
+    """What ids, starts of ids, file names and pieces of texts name."""
+    d, i, t = docs(spark, sf), F.col("doc_id"), F.col("text")
+    ref = (
+        F.when(i % 97 == 1, F.concat(F.lit("cvt"), F.lpad(i.cast("string"), 12, "0"))).when(i % 97 == 2, F.concat(F.lit("cvt"), F.lpad(F.floor(i / 10).cast("string"), 11, "0")))
+        .when(i % 97 == 3, F.upper(F.concat(F.lit("doc_"), i.cast("string"), F.lit(".txt")))).when(i % 97 == 4, F.upper(F.substring(t, 20, 10))).when(i % 97 == 5, F.substring(t, 3, 2)).when(i % 97 == 6, F.concat(F.lit("no such"), i.cast("string")))
+    )
+    return index.resolve(artifacts(spark, sf), d.select(ref.alias("ref")))
 
 
 @query(f"SELECT sha256, id FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY created_at DESC, id DESC) AS rn FROM {LIVE}) WHERE rn = 1")
@@ -436,20 +508,97 @@ def batch_summary(spark, sf):
     return batch.summary(docs(spark, sf).select(F.when(i % 9 == 0, "failed").when(i % 9 == 1, "skipped").otherwise("ok").alias("status"), (i % 100 / 100.0).alias("confidence")))
 
 
-@query()
+DIFF_SQL = r"""
+WITH RECURSIVE t AS ({pairs}),
+p AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a, CASE WHEN b[-1] = '' THEN b[:-2] ELSE b END AS b FROM t),
+la AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM p), lb AS (SELECT doc_id, unnest(b) AS line, unnest(range(len(b))) AS j FROM p),
+hit AS (SELECT doc_id, i, j, i - row_number() OVER (PARTITION BY doc_id, i - j ORDER BY i) AS g FROM la JOIN lb USING (doc_id, line)),
+run AS (SELECT doc_id, min(i) AS i, min(j) AS j, count(*) AS n FROM hit GROUP BY doc_id, i - j, g),
+reg AS (
+ SELECT doc_id, 0::BIGINT AS a1, len(a)::BIGINT AS a2, 0::BIGINT AS b1, len(b)::BIGINT AS b2, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS n FROM p
+ UNION ALL
+ SELECT doc_id, unnest([a1, x + m]), unnest([x, a2]), unnest([b1, y + m]), unnest([y, b2]), x, y, m FROM (
+  SELECT r.doc_id, a1, a2, b1, b2, run.i + greatest(0, a1 - run.i, b1 - run.j) AS x, run.j + greatest(0, a1 - run.i, b1 - run.j) AS y,
+   least(run.n, a2 - run.i, b2 - run.j) - greatest(0, a1 - run.i, b1 - run.j) AS m FROM reg r JOIN run ON run.doc_id = r.doc_id
+  WHERE least(run.n, a2 - run.i, b2 - run.j) > greatest(0, a1 - run.i, b1 - run.j)
+  QUALIFY row_number() OVER (PARTITION BY r.doc_id, a1, b1 ORDER BY m DESC, x, y) = 1)
+),
+blk AS (SELECT DISTINCT doc_id, i, j, n FROM reg WHERE n > 0),
+s AS (SELECT doc_id, sum(n)::BIGINT AS unchanged, string_agg(i || ':' || j || ':' || n, ',' ORDER BY i) AS blocks,
+ sum(greatest(0, n - CASE WHEN i = 0 AND j = 0 THEN 0 ELSE 3 END - CASE WHEN i + n = len(a) AND j + n = len(b) THEN 0 ELSE 3 END))::BIGINT AS elided FROM blk JOIN p USING (doc_id) GROUP BY 1)
+SELECT doc_id, len(a) AS lines_a, len(b) AS lines_b, len(b) - coalesce(unchanged, 0) AS additions, len(a) - coalesce(unchanged, 0) AS deletions, coalesce(unchanged, 0) AS unchanged, coalesce(elided, 0) AS elided,
+ CASE WHEN len(a) + len(b) > 0 THEN round(2 * coalesce(unchanged, 0) / (len(a) + len(b) + 1e-9), 3) ELSE 1.0 END AS similarity, coalesce(blocks, '') AS blocks FROM p LEFT JOIN s USING (doc_id)
+"""
+ENDS_SQL = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
+
+
+def told(df: DataFrame) -> DataFrame:
+    """The report of a difference, its matching blocks as text."""
+    block = lambda x: F.concat_ws(":", *(x[c].cast("string") for c in ("i", "j", "n")))
+    counts = [F.col(f"diff.{c}").cast("long").alias(c) for c in ("lines_a", "lines_b", "additions", "deletions", "unchanged", "elided")]
+    return df.select("doc_id", *counts, "diff.similarity", F.array_join(F.transform("diff.blocks", block), ",").alias("blocks"))
+
+
+def next_ids(spark: SparkSession, sf: str, step: int = 4096) -> DataFrame:
+    """doc_id with the next one of its source. Windows hold ids of one source within step numbers, and one row for each
+    such stretch of a source: no window holds texts or a whole source."""
+    ids = docs(spark, sf).select("source", "doc_id", F.floor(F.col("doc_id") / step).alias("stretch"))
+    firsts = ids.groupBy("source", "stretch").agg(F.min("doc_id").alias("first"))
+    firsts = firsts.select("source", "stretch", F.lead("first").over(Window.partitionBy("source").orderBy("stretch")).alias("beyond"))
+    inside = ids.withColumn("next", F.lead("doc_id").over(Window.partitionBy("source", "stretch").orderBy("doc_id")))
+    nexts = inside.join(firsts, inside["source"].eqNullSafe(firsts["source"]) & inside["stretch"].eqNullSafe(firsts["stretch"]))
+    return nexts.select("doc_id", F.coalesce("next", "beyond").alias("next")).where(F.col("next").isNotNull())
+
+
+def next_texts(spark: SparkSession, sf: str) -> DataFrame:
+    d = docs(spark, sf).select("doc_id", "text")
+    return next_ids(spark, sf).join(d, "doc_id").join(d.select(F.col("doc_id").alias("next"), F.col("text").alias("next_text")), "next").select("doc_id", "text", F.col("next_text").alias("next"))
+
+
+@query(DIFF_SQL.format(pairs=f"SELECT doc_id, regexp_split_to_array(text, {ENDS_SQL}) AS a, regexp_split_to_array(b, {ENDS_SQL}) AS b FROM (SELECT doc_id, text, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS b, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents) WHERE next IS NOT NULL"))
 def doc_diff(spark, sf):
     """Each document against the next of its source."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = docs(spark, sf).select("doc_id", "text", F.lead("text").over(w).alias("next")).where(F.col("next").isNotNull())
-    d = diff.diff(pairs, "text", "next", most=500)
-    return d.select("doc_id", "diff.lines_a", "diff.lines_b", "diff.additions", "diff.deletions", "diff.unchanged", "diff.similarity", "diff.truncated")
+    return told(diff.diff(next_texts(spark, sf), "text", "next"))
+
+
+@query(DIFF_SQL.format(pairs=f"SELECT doc_id, a, flatten(list_transform(a, lambda x, k: CASE WHEN (k + doc_id) % 7 = 0 THEN [] WHEN (k + doc_id) % 11 = 3 THEN [x, x] WHEN (k + doc_id) % 13 = 5 THEN [x || '!'] ELSE [x] END)) AS b FROM (SELECT doc_id, regexp_split_to_array(text, {ENDS_SQL}) AS a FROM documents)"))
+def version_diff(spark, sf):
+    """Each document against an edited version of itself: lines gone, doubled and changed by their place."""
+    at = lambda k: F.col("doc_id") + k + 1
+    edit = lambda x, k: F.when(at(k) % 7 == 0, F.array().cast("array<string>")).when(at(k) % 11 == 3, F.array(x, x)).when(at(k) % 13 == 5, F.array(F.concat(x, F.lit("!")))).otherwise(F.array(x))
+    pairs = docs(spark, sf).select("doc_id", "text", F.array_join(F.flatten(F.transform(F.split("text", diff.ENDS), edit)), "\n").alias("edited"))
+    return told(diff.diff(pairs, "text", "edited"))
 
 
 @query("SELECT doc_id, len(a) AS lines_a, len(b) AS lines_b, len(list_intersect(a, b)) AS common FROM (SELECT doc_id, string_split(text, chr(10)) AS a, string_split(lead(text) OVER (PARTITION BY source ORDER BY doc_id), chr(10)) AS b FROM documents) WHERE b IS NOT NULL")
 def diff_bounds(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = docs(spark, sf).select("doc_id", "text", F.lead("text").over(w).alias("next")).where(F.col("next").isNotNull())
-    return pairs.select("doc_id", diff.line_counts("text", "next").alias("c")).select("doc_id", *(F.col(f"c.{n}").cast("long").alias(n) for n in ("lines_a", "lines_b", "common")))
+    return next_texts(spark, sf).select("doc_id", diff.line_counts("text", "next").alias("c")).select("doc_id", *(F.col(f"c.{n}").cast("long").alias(n) for n in ("lines_a", "lines_b", "common")))
+
+
+FILES_SQL = "SELECT concat('in/', doc_id % 5, '/Doc', doc_id // 3, CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' ELSE '.html' END) AS path, (doc_id * 7919) % 1000 AS mtime FROM documents"
+PARTNERS_SQL = (
+    "WITH f AS ({files}), g AS (SELECT path, mtime, lower(regexp_replace(regexp_extract(path, '[^/]*$'), '\\.[^.]*$', '')) AS stem FROM f), "
+    "p AS (SELECT a.path AS path_a, b.path AS path_b, a.mtime AS mtime_a, b.mtime AS mtime_b FROM g a JOIN g b ON a.stem = b.stem AND a.path <> b.path QUALIFY row_number() OVER (PARTITION BY a.path ORDER BY b.mtime DESC, b.path) = 1) "
+    "SELECT * FROM p {where}"
+)
+
+
+def listing(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("doc_id")
+    name = F.concat(F.lit("in/"), (i % 5).cast("string"), F.lit("/Doc"), F.floor(i / 3).cast("string"), F.when(i % 3 == 0, ".txt").when(i % 3 == 1, ".MD").otherwise(".html"))
+    return docs(spark, sf).select(name.alias("path"), (i * 7919 % 1000).alias("mtime"))
+
+
+@query(PARTNERS_SQL.format(files=FILES_SQL, where=""))
+def diff_partners(spark, sf):
+    """Files paired by stem in one listing: the newest other one."""
+    return diff.partners(listing(spark, sf))
+
+
+@query(PARTNERS_SQL.format(files=FILES_SQL, where="WHERE mtime_a >= 500 AND mtime_b >= 500"))
+def diff_partners_since(spark, sf):
+    """The same, both sides at least as new as a time."""
+    return diff.partners(listing(spark, sf), since=500)
 
 
 def font_lines(spark: SparkSession, sf: str) -> DataFrame:

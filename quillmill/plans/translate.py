@@ -13,10 +13,10 @@ from quillmill.operators.convert import convert, decision, fallback, features
 from quillmill.sources.parsers import parse
 
 
-def translate(sources: DataFrame, conversion_type: str = "auto", output: str = "text", quality: bool = True, **options) -> DataFrame:
+def translate(sources: DataFrame, conversion_type: str = "auto", output: str = "text", quality: bool = True, carry: tuple[str, ...] = (), **options) -> DataFrame:
     """path, name, format, file_type, strategy, content, confidence, enhance_reason, quality, error, line (the
-    protocol's JSON)."""
-    p = parse(sources, **options)
+    protocol's JSON), and the columns of sources to carry along."""
+    p = parse(sources, carry, **options)
     raw = F.decode(F.make_valid_utf8(F.col("content")).cast("binary"), "utf-8") if "content" in p.columns else F.lit("")
     none = F.col("pages").isNull()
     p = p.withColumn("_c", F.when(~none, convert("file_type", F.col("pages"), "name", conversion_type)))
@@ -30,7 +30,7 @@ def translate(sources: DataFrame, conversion_type: str = "auto", output: str = "
     p = p.withColumn("result_id", new_id("cvt"))
     data = F.struct("result_id", "name", "format", "strategy", "confidence", "content", "enhance_reason")
     p = p.withColumn("line", envelope(data, F.col("error.kind"), F.col("error.message")))
-    return p.select("path", "name", "format", "file_type", "length", "mtime", "strategy", "content", "confidence", "decision", "enhance_reason", *(["quality"] if quality else []), "error", "result_id", "line")
+    return p.select("path", "name", "format", "file_type", "length", "mtime", "strategy", "content", "confidence", "decision", "enhance_reason", *(["quality"] if quality else []), "error", "result_id", "line", *carry)
 
 
 def to_index(results: DataFrame, now: int) -> DataFrame:

@@ -50,13 +50,14 @@ def parse_one(content: bytes | None, fmt: str, name: str, options: dict, parsers
     return pages, None
 
 
-def parse(sources: DataFrame, **options) -> DataFrame:
-    """sources (path, name, mtime, length, content, error) with format, mime, confidence, file_type, pages and error.
+def parse(sources: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """sources (path, name, mtime, length, content, error) with format, mime, confidence, file_type, pages and error, and
+    the columns to carry along.
     Detection is an expression; parsing is one Arrow pass over the rows, without a shuffle."""
     known = dict(PARSERS)
     found = sources.withColumn("_d", detect("content", "name"))
     types = F.create_map(*(F.lit(x) for pair in FILE_TYPE.items() for x in pair))
-    found = found.select("path", "name", "mtime", "length", "content", F.col("error").alias("_error"), F.col("_d.format").alias("format"), F.col("_d.mime").alias("mime"), F.col("_d.confidence").alias("confidence"))
+    found = found.select("path", "name", "mtime", "length", "content", F.col("error").alias("_error"), F.col("_d.format").alias("format"), F.col("_d.mime").alias("mime"), F.col("_d.confidence").alias("confidence"), *carry)
     found = found.withColumn("file_type", F.coalesce(F.try_element_at(types, F.col("format")), F.lit("unknown")))
     keep = [c for c in found.columns if c not in ("content", "_error")]
     schema = T.StructType([found.schema[c] for c in keep] + [T.StructField("pages", T.ArrayType(PAGE)), T.StructField("error", ERROR)])

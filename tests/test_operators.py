@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import quality, tables
 from quillmill.functions import text as tx
-from quillmill.operators import batch, chunk, convert, diff, index, structure
+from quillmill.operators import batch, chunk, convert, index, structure
 from quillmill.streaming import inbox
 
 ROW = "id string, source_name string, source_path string, source_size long, sha256 string, format string, parser string, status string, excerpt string, chars long, created_at long, updated_at long, retired_at long, deleted_at long, starred boolean"
@@ -139,25 +139,6 @@ def test_search_takes_signs_literally(spark):
     assert {r.id for r in found.collect()} >= {"a0011"}
 
 
-def test_index_table(spark, tmp_path):
-    spark_rows = artifacts(spark, 6)
-    ix = index.ArtifactIndex(spark, f"file://{tmp_path}/ix")
-    full = spark_rows.select(*(F.col(n) if n in spark_rows.columns else F.lit(None).cast(t).alias(n) for n, t in (x.rsplit(" ", 1) for x in index.SCHEMA.split(", "))))
-    ix.upsert(full, 50)
-    ix.upsert(full.where("id = 'a0001'").withColumn("sha256", F.lit(None).cast("string")).withColumn("created_at", F.lit(999).cast("long")).withColumn("status", F.lit("new")), 60)
-    r = {x.id: x for x in ix.rows().collect()}
-    first = full.where("id = 'a0001'").first()
-    assert len(r) == 6 and r["a0001"].status == "new" and r["a0001"].sha256 == first.sha256 and r["a0001"].created_at == first.created_at and r["a0001"].updated_at == 60
-    ix.delete(spark.createDataFrame([("a0001",)], "id string"), 70)
-    assert ix.query().where("id = 'a0001'").count() == 0 and ix.rows().count() == 6
-    ix.undelete(spark.createDataFrame([("a0001",)], "id string"))
-    ix.prune(spark.createDataFrame([("/p/1",)], "path string"), 80)
-    assert {x.id for x in ix.rows().where("retired_at is null and deleted_at is null").collect()} == {"a0001"}
-    ix.vacuum()
-    ix.backup(f"file://{tmp_path}/copy")
-    assert spark.read.parquet(f"file://{tmp_path}/copy").count() == 6 and len(ix._generations()) == 1
-
-
 def test_resolve(spark):
     rows = artifacts(spark)
     asked = spark.createDataFrame([("a0011",), ("a001",), ("NAME3.txt",), ("text 77",), ("nothing",)], "ref string")
@@ -183,24 +164,6 @@ def test_resume_and_summary(spark):
     assert (s.total, s.ok, s.failed, s.skipped, s.avg_confidence, s.balanced) == (4, 2, 1, 1, 0.55, True)
 
 
-@pytest.mark.parametrize(("a", "b", "want"), [("", "", (0, 0, 0, 1.0)), ("x\ny", "x\ny", (0, 0, 2, 1.0)), ("x", "x\ny", (1, 0, 1, 0.667)), ("a\nb", "c", (1, 2, 0, 0.0))])
-def test_diff(spark, a, b, want):
-    r = diff.diff(spark.createDataFrame([(a, b)], "a string, b string")).first()["diff"]
-    assert (r.additions, r.deletions, r.unchanged, r.similarity) == want
-    assert r.lines_a - r.deletions + r.additions == r.lines_b
-
-
-def test_diff_preview_and_pairs(spark):
-    a, b = "\n".join(map(str, range(40))), "\n".join("x" if i == 20 else str(i) for i in range(40))
-    r = diff.compare(a, b, context=2)
-    assert r[7].split("\n") == ["... (18 unchanged lines)", "  18", "  19", "- 20", "+ x", "  21", "  22", "... (17 unchanged lines)"] and r[5] == 35
-    assert diff.compare(a, "", most=30)[8]
-    f = spark.createDataFrame([("d/a.txt", 1.0), ("d/a.md", 3.0), ("d/A.html", 3.0), ("d/b.txt", 9.0)], "path string, mtime double")
-    assert {(r.path_a, r.path_b) for r in diff.partners(f).collect()} == {("d/a.txt", "d/A.html"), ("d/a.md", "d/A.html"), ("d/A.html", "d/a.md")}
-    with pytest.raises(ValueError):
-        diff.partners(f, since=float("nan"))
-
-
 def test_pages_and_furniture(spark):
     assert structure.page_spec("3,1-2,2") == [3, 1, 2]
     for bad in ("0", "2-1", "x", "9", ""):
