@@ -10,7 +10,7 @@ extended line by line both ways; the run in the later place is deleted, the firs
 Deleting is safe: each deleted line equals a line at an earlier place, so the earliest copy of a line always stays.
 A document that loses all of its lines is given an empty text, and goes if drop_empty is set. Null and empty texts have
 no grams and stay as they are. Rows repeated with the same id and text count as one place. Null ids come first in the
-order. An empty table gives an empty one; other columns are carried along.
+order. An empty table gives an empty one; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -62,19 +62,21 @@ def line_runs(docs: DataFrame, noise: int = 25, reach: int = 25, id_col: str = "
 
 def dedup_lines(docs: DataFrame, noise: int = 25, reach: int = 25, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = False, counts: bool = False) -> DataFrame:
     """docs without the later runs; counts adds n_lines and n_deleted. n_chars, where there is one, follows the text."""
-    runs = line_runs(docs, noise, reach, id_col, text_col).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("runs").alias("_runs"))
-    out = docs.join(runs, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x, i: ~F.exists("_runs", lambda r: (i >= r["lo"]) & (i <= r["hi"])))
-    hit = F.col("_runs").isNotNull()
-    out = out.withColumn("_n", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))).withColumn("_kept", F.when(hit, kept))
-    out = out.withColumn(text_col, F.when(hit, F.array_join("_kept", "\n")).otherwise(F.col(text_col)))
+    runs = line_runs(docs, noise, reach, id_col, text_col).select(F.col("id").alias("run_id"), F.col("hash").alias("run_hash"), "runs")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))  # a row is carried whole, so its names meet no others
+    out = rows.join(runs, F.col("id").eqNullSafe(F.col("run_id")) & (F.col("hash") == F.col("run_hash")), "left")
+    text, hit = F.col("row").getField(text_col), F.col("runs").isNotNull()
+    lines = F.split(text, "\n")
+    kept = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: (i >= r["lo"]) & (i <= r["hi"])))
+    out = out.withColumn("n", F.when(text.isNull(), 0).otherwise(F.size(lines))).withColumn("kept", F.when(hit, kept))
+    out = out.select("row", "n", "kept", F.when(hit, F.array_join("kept", "\n")).otherwise(text).alias("text"), hit.alias("hit"))
     if drop_empty:
-        out = out.where(~(hit & (F.trim(text_col) == "")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(hit, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    more = [F.col("_n").cast("long").alias("n_lines"), F.when(hit, F.col("_n") - F.size("_kept")).otherwise(0).cast("long").alias("n_deleted")] if counts else []
-    return out.select(*docs.columns, *more)
+        out = out.where(~(F.col("hit") & (F.trim("text") == "")))
+    own = {c: F.col("row").getField(c) for c in docs.columns} | {text_col: F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("hit"), F.length("text").cast("long")).otherwise(own["n_chars"])
+    more = [F.col("n").cast("long").alias("n_lines"), F.when(F.col("hit"), F.col("n") - F.size("kept")).otherwise(0).cast("long").alias("n_deleted")] if counts else []
+    return out.select(*(v.alias(c) for c, v in own.items()), *more)
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

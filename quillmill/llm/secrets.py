@@ -110,24 +110,28 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col="doc_id", text_col="t
     text stay, and so do all rows and columns. n_chars, where there is one, follows the text."""
     told = classify(docs, id_col, text_col, **options)
     cut = F.array_sort(F.transform(F.filter("spans", lambda s: s["verdict"] != "example"), lambda s: F.struct(s["at"].alias("at"), s["end"].alias("end"))))
-    told = told.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), cut.alias("_cut")).where(F.size("_cut") > 0)
+    told = told.select(F.col("id").alias("cut_id"), F.col("text_hash").alias("cut_hash"), cut.alias("cut")).where(F.size("cut") > 0)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))  # a row is carried whole, so its names meet no others
+    joined = rows.join(told, F.col("id").eqNullSafe(F.col("cut_id")) & F.col("hash").eqNullSafe(F.col("cut_hash")), "left")
+    own = F.col("row").getField(text_col)
     # spans may overlap (a hex run within an assignment): the state keeps how far the text has been written
     text = F.aggregate(
-        "_cut",
+        "cut",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("done")),
         lambda acc, c: F.when(c["end"] <= acc["done"], acc).otherwise(
             F.struct(
-                F.concat(acc["out"], F.when(c["at"] >= acc["done"], F.concat(F.substring(F.col(text_col), acc["done"] + 1, c["at"] - acc["done"]), F.lit(mark))).otherwise(F.lit(""))).alias("out"),
+                F.concat(acc["out"], F.when(c["at"] >= acc["done"], F.concat(F.substring(own, acc["done"] + 1, c["at"] - acc["done"]), F.lit(mark))).otherwise(F.lit(""))).alias("out"),
                 c["end"].alias("done"),
             )
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["done"] + 1, F.length(text_col))),
+        lambda acc: F.concat(acc["out"], F.substring(own, acc["done"] + 1, F.length(own))),
     )
-    joined = docs.join(told, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("_hash")), "left")
-    joined = joined.withColumn(text_col, F.when(F.col("_cut").isNotNull(), text).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_cut").isNotNull(), F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+    hit = F.col("cut").isNotNull()
+    joined = joined.select("row", F.when(hit, text).otherwise(own).alias("text"), hit.alias("hit"))
+    out = {c: F.col("row").getField(c) for c in docs.columns} | {text_col: F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("hit"), F.length("text").cast("long")).otherwise(out["n_chars"])
+    return joined.select(*(v.alias(c) for c, v in out.items()))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

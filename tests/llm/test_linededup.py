@@ -88,3 +88,14 @@ def test_odd_rows(spark, docs, tmp_path):
 def test_the_plan_has_no_python(docs):
     plan = dedup_lines(docs((1, "a b")))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_clashing_names_are_carried(spark, docs):
+    names = ("_id", "_hash", "_runs", "_n", "_kept", "id", "hash", "runs", "row", "n", "kept", "hit", "run_id")
+    block = "\n".join(f"line number {i} of the shared block with some more words in it" for i in range(8))
+    plain = docs((1, f"a head\n{block}"), (2, f"another head\n{block}\na tail"), (3, None), (4, ""), (None, block), (2, f"another head\n{block}\na tail"))
+    df = plain.withColumns({n: F.lit(777) for n in names})
+    out = dedup_lines(df)
+    assert out.columns == df.columns and {tuple(r[n] for n in names) for r in out.collect()} == {(777,) * len(names)}
+    assert sorted(map(repr, out.select(plain.columns).collect())) == sorted(map(repr, dedup_lines(plain).collect()))
+    assert {r.text for r in out.where("doc_id = 2").collect()} == {"another head\na tail"} and dedup_lines(df.where("false")).count() == 0

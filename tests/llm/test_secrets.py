@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quillmill.llm.secrets import classify, op4_secrets, redact, scanner
 
 
@@ -64,3 +66,13 @@ def test_query_digests(spark, docs, tmp_path):
 def test_empty_table(spark, docs, tmp_path):
     docs((1, "x")).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert op4_secrets(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names_are_carried(spark, docs):
+    names = ("_id", "_hash", "_cut", "id", "hash", "cut", "row", "hit", "spans", "owner")
+    plain = docs(*rows())
+    df = plain.withColumns({n: F.lit(777) for n in names})
+    out = redact(df)
+    assert out.columns == df.columns and {tuple(r[n] for n in names) for r in out.collect()} == {(777,) * len(names)}
+    assert sorted(map(repr, out.select(plain.columns).collect())) == sorted(map(repr, redact(plain).collect()))
+    assert redact(df.where("false")).count() == 0 and {r.spans for r in classify(df.where("doc_id = 24")).collect()} == set()
