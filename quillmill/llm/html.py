@@ -18,6 +18,8 @@ import re
 import unicodedata
 from html import unescape
 
+from collections.abc import Generator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,6 +146,13 @@ def build(html: str) -> Node:
     return root
 
 
+def declared(css: str, name: str) -> str | None:
+    """The value that holds of a property's declarations in a style (lower-case, no spaces): the last important one, else
+    the last."""
+    found = re.findall(rf"(?:^|;){name}:([\w-]+)(!important)?", css)
+    return next((v for v, important in reversed(found) if important), found[-1][0] if found else None)
+
+
 def hidden(node: Node) -> bool:
     tag, attrs = node.tag, node.attrs
     if tag in UNSEEN:
@@ -157,16 +166,16 @@ def hidden(node: Node) -> bool:
     if tag == "input":
         return (attribute(attrs, "type") or "").lower() == "hidden"
     if (m := STYLE.search(attrs)) and (css := (m[1] or m[2] or m[3] or "").lower().replace(" ", "")):
-        return bool(re.search(r"(^|;)display:none", css))
+        return declared(css, "display") == "none"
     return False
 
 
 def unseen_text(node: Node, unseen: bool) -> bool:
     """Whether visibility hides the text of node; children may turn it on again."""
     if "visibility" in node.attrs.lower() and (m := STYLE.search(node.attrs)):
-        found = re.findall(r"(?:^|;)visibility:(\w+)", (m[1] or m[2] or m[3] or "").lower().replace(" ", ""))
+        found = declared((m[1] or m[2] or m[3] or "").lower().replace(" ", ""), "visibility")
         if found:
-            return found[-1] in ("hidden", "collapse")
+            return found in ("hidden", "collapse")
     return unseen
 
 
@@ -247,8 +256,8 @@ def columns(s: str) -> int:
 
 
 def table_parts(table: Node, unseen: bool) -> tuple[list, list, list]:
-    """What stands before the table, its captions and its rows (head, body, foot), each cell with whether visibility hides
-    it. Cells without a row make one; rows and cells are found through other elements, such as forms; all else within
+    """What stands before the table, its captions and its rows (head, body, foot), each with its row group, and each cell
+    with whether visibility hides it. Cells without a row make one; rows and cells are found through other elements, such as forms; all else within
     the table but outside of its cells and captions is misplaced and goes before the table."""
     before, captions, groups, implied = [], [], {"thead": [], "tbody": [], "tfoot": []}, None
     todo = [(k, before, ("tbody", table), None, unseen) for k in reversed(table.kids)]
@@ -268,14 +277,14 @@ def table_parts(table: Node, unseen: bool) -> tuple[list, list, list]:
             if row is None:
                 if implied is None or implied[0] is not group[1]:
                     implied = (group[1], [])
-                    groups[group[0]].append(implied[1])
+                    groups[group[0]].append(implied)
                 row = implied[1]
             row.append((node, unseen_text(node, unseen)))
         elif part:
             implied = None
             if tag == "tr":
                 row = []
-                groups[group[0]].append(row)
+                groups[group[0]].append((group[1], row))
             else:
                 group, row = (tag, node), None
             todo += [(k, before, group, row, unseen_text(node, unseen)) for k in reversed(node.kids)]
@@ -289,15 +298,31 @@ def table_parts(table: Node, unseen: bool) -> tuple[list, list, list]:
     return before, captions, groups["thead"] + groups["tbody"] + groups["tfoot"]
 
 
-def table_lines(captions: list, rows: list, depth: int) -> list[str]:
-    grid, held = [], {}  # held: rows that a cell above still takes, by column
-    for row in rows:
+def worked(job: Generator) -> str:
+    """Runs a job that yields the jobs whose results it needs, however deep they are nested."""
+    stack, result = [job], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as done:
+            stack.pop()
+            result = done.value
+    return result
+
+
+def table_lines(captions: list, rows: list) -> Generator:
+    grid, held, group = [], {}, None  # held: rows that a cell above still takes, by column
+    for of, row in rows:
+        if of is not group:  # no cell reaches beyond its row group
+            group, held = of, {}
         cells, col = [], 0
         for cell, unseen in row:
             while held.get(col):
                 col += 1
-            wide, high = whole(cell.attrs, "colspan", 1, 1, 1000), whole(cell.attrs, "rowspan", 1, 1, 65534)
-            cells.append((col, wide, render(cell, depth + 1, unseen).split("\n")))
+            wide, high = whole(cell.attrs, "colspan", 1, 1, 1000), whole(cell.attrs, "rowspan", 1, 0, 65534) or 1 << 30  # 0: to the end of the group
+            text = yield render(cell, unseen)
+            cells.append((col, wide, text.split("\n")))
             for c in range(col, col + wide):
                 held[c] = max(held.get(c, 0), high)
             col += wide
@@ -317,7 +342,8 @@ def table_lines(captions: list, rows: list, depth: int) -> list[str]:
     used = sorted(c for c, w in width.items() if w)
     out = []
     for caption, unseen in captions:
-        out += [*render(caption, depth + 1, unseen).split("\n")]
+        text = yield render(caption, unseen)
+        out += text.split("\n")
     at, x = {}, 0
     for c in used:
         at[c] = x
@@ -334,7 +360,7 @@ def table_lines(captions: list, rows: list, depth: int) -> list[str]:
     return [line for line in out if line.strip()]
 
 
-def render(root: Node, depth: int = 0, unseen: bool = False) -> str:
+def render(root: Node, unseen: bool = False) -> Generator:
     w = Writer()
     stack: list[tuple] = [(k, unseen, False, None) for k in reversed(root.kids)]
     while stack:
@@ -364,7 +390,7 @@ def render(root: Node, depth: int = 0, unseen: bool = False) -> str:
             continue
         if tag == "#grid":
             w.gap(2)
-            w.lines(table_lines(*arg, depth))
+            w.lines((yield table_lines(*arg)))
             w.gap(2)
             continue
         if hidden(node):
@@ -390,7 +416,7 @@ def render(root: Node, depth: int = 0, unseen: bool = False) -> str:
                 w.out.append("-" * 20)
             w.gap(2)
             continue
-        if tag == "table" and depth < 20:
+        if tag == "table":
             before, captions, rows = table_parts(node, unseen)
             stack.append((Node("#grid"), unseen, pre, (captions, rows)))
             stack += [(k, above, pre, None) for k in reversed(before)]
@@ -447,7 +473,7 @@ def to_text(html: str | None) -> tuple[str | None, str | None]:
             title = SPACES.sub(" ", unescape("".join(k for k in node.kids if isinstance(k, str)))).strip()
         elif node.tag in ("#root", "html", "head"):
             todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
-    return title, render(root)
+    return title, worked(render(root))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
