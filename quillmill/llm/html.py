@@ -8,8 +8,8 @@ each level, preformatted text keeps its white space, and table cells are padded
 text or elements misplaced between cells are written before their table, as browsers do.
 
 Null pages give null text, empty ones empty text. Broken markup never fails: what can't be a tag is text. Repeated
-rows give repeated results; an empty table gives an empty one. The tree and the renderer use no recursion but for
-tables within tables, which beyond 20 levels are written as plain blocks, so depth is bounded by memory alone.
+rows give repeated results; an empty table gives an empty one. The tree and the renderer use no recursion, tables
+within tables included, so depth is bounded by memory alone.
 """
 
 from __future__ import annotations
