@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import col, escape_md_cell, text_of
+from quillmill.schema import HEADER_WORDS
 
-# Words that make a first row a header; tags of yes and no; what counts as a number in a column.
-HEADER_WORDS = "id name title date time total sum price amount 编号 名称 标题 日期 时间 合计 总计 价格 数量 序号 项目 内容 备注 状态 类型 类别".split()
+# Tags of yes and no; what counts as a number in a column.
 BOOLEAN_WORDS = "true yes y 1 false no n 0".split()
 NUMERIC_CELL = r"^[(\-+]?\s*[$€£¥￥]?\s*[\d,]+(?:\.\d+)?\s*[%％]?\)?$"
 
@@ -79,6 +79,15 @@ def infer_schema(grid: Column, sample: int = 20, header: bool = True) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), each)).otherwise(F.array().cast("array<struct<name:string,type:string>>"))
 
 
+def schema_summary(schemas: DataFrame, key: str, order: str, schema: str) -> DataFrame:
+    """key with the columns (name and type) of all of its tables, each once, in the order in which tables first have
+    them. Columns are met before the shuffle, so a key with many tables sends each of its columns once a task."""
+    each = schemas.select(key, F.col(order).alias("_o"), F.posexplode(schema).alias("_i", "_c"))
+    first = each.groupBy(key, F.col("_c").alias("_c")).agg(F.min(F.struct("_o", "_i")).alias("_at"))
+    listed = F.array_sort(F.collect_list(F.struct("_at", "_c")))
+    return first.groupBy(key).agg(F.transform(listed, lambda x: x["_c"]).alias("summary"))
+
+
 def has_header(grid: Column) -> Column:
     """The first row is all text and the second holds a number, or the first names a usual column."""
     number = lambda x: F.trim(x).rlike(r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$")

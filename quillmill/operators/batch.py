@@ -21,12 +21,13 @@ def parts_of(path: str | Column) -> tuple[Column, Column, Column]:
 
 
 def plan_outputs(files: DataFrame, ext: str, source_dir: str | None = None, salts: int = 2) -> DataFrame:
-    """files (path) with out: mirrored under source_dir if it is given, else <stem><ext>. Names that differ only in
+    """files (path) with out: mirrored under source_dir if it is given, else <stem><ext>; a colon, which Hadoop's paths
+    can't hold, becomes an underscore. Names that differ only in
     case clash; clashing ones get the source's extension, and what still clashes gets 8 digits of a hash of the path,
     salted until the name is free. Counts of names are windows over the name, so each clash is settled where it meets;
     a window holds the paths of one name."""
     folder, stem, own = parts_of("path")
-    base = F.concat(F.when(folder.startswith(source_dir.rstrip("/") + "/"), F.substring(folder, len(source_dir.rstrip("/")) + 2, 1 << 30)).otherwise("") if source_dir else F.lit(""), stem)
+    base = F.concat(F.when(folder.startswith(source_dir.rstrip("/") + "/"), F.substring(folder, len(source_dir.rstrip("/")) + 2, 1 << 30)).otherwise("") if source_dir else F.lit(""), F.translate(stem, ":", "_"))
     d = files.withColumn("_base", base).withColumn("_own", own)
     alone = lambda c: F.count("*").over(Window.partitionBy(F.lower(c))) == 1
     d = d.withColumn("_p1", F.concat("_base", F.lit(ext)))

@@ -149,17 +149,20 @@ def vanished(df: DataFrame, files: DataFrame, path: str = "source_path") -> Data
     return live(df).where(F.col("retired_at").isNull()).join(files.select(F.col("path").alias(path)), path, "left_anti").select("id")
 
 
-def retention(df: DataFrame, now: int, days: int = 7, most_bytes: int = 500 << 20, shards: int = 1) -> DataFrame:
+def retention(df: DataFrame, now: int, days: int = 7, most_bytes: int = 500 << 20) -> DataFrame:
     """ids to retire: older than days, then the oldest until the rest fits in most_bytes. The running total is made of
-    totals by second, so the one sorted partition has a row for each second and not for each artifact."""
+    three: of the days after a row's day (a row a day in one window), of the seconds after its second within the day, and
+    of the ids before it within the second. No window holds more than a day's seconds or a second's artifacts."""
     d = live(df).where(F.col("retired_at").isNull()).select("id", "created_at", F.coalesce("source_size", F.lit(0)).alias("size"))
     old = d.where(F.col("created_at") < now - days * 86_400)
-    kept = d.where(F.col("created_at") >= now - days * 86_400)
-    by = kept.groupBy("created_at").agg(F.sum("size").alias("size"))
-    newest = by.withColumn("newer", F.sum("size").over(Window.orderBy(F.desc("created_at"))) - F.col("size"))
-    ranked = kept.join(newest.select("created_at", "newer"), "created_at")
-    within = F.sum("size").over(Window.partitionBy("created_at").orderBy(F.desc("id")))
-    lru = ranked.withColumn("upto", F.col("newer") + within).where(F.col("upto") > most_bytes)
+    kept = d.where(F.col("created_at") >= now - days * 86_400).withColumn("day", F.floor(F.col("created_at") / 86_400))
+    seconds = kept.groupBy("day", "created_at").agg(F.sum("size").alias("held"))
+    by_day = seconds.groupBy("day").agg(F.sum("held").alias("held"))
+    later = by_day.select("day", (F.sum("held").over(Window.orderBy(F.desc("day"))) - F.col("held")).alias("later"))
+    within = F.sum("held").over(Window.partitionBy("day").orderBy(F.desc("created_at"))) - F.col("held")
+    newer = seconds.withColumn("within", within).join(later, "day").select("created_at", (F.col("within") + F.col("later")).alias("newer"))
+    same = F.sum("size").over(Window.partitionBy("created_at").orderBy(F.desc("id")))
+    lru = kept.join(newer, "created_at").withColumn("upto", F.col("newer") + same).where(F.col("upto") > most_bytes)
     return old.select("id", F.lit("ttl").alias("reason")).union(lru.select("id", F.lit("lru").alias("reason")))
 
 

@@ -5,6 +5,7 @@ out. Queries run over whole tables."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from quillmill.functions import quality, tables
 from quillmill.functions import text as tx
 from quillmill.operators import batch, chunk, convert, detect, diff, index, structure
+from quillmill.plans.run import run_batch
+from quillmill.sources.adapters import load
+from quillmill.sources.cache import ContentCache
+from quillmill.sources.files import from_text
 from quillmill.sources.tables import shared_folder
 from quillmill.streaming import inbox
 
@@ -408,16 +413,30 @@ def detect_format(spark, sf):
     return d.groupBy("d.format").agg(F.count("*").alias("n"), F.max("d.confidence").alias("confidence"))
 
 
-@query("SELECT i AS id, f AS format, c::DOUBLE AS confidence FROM (VALUES (1, 'pdf', 0.95), (2, 'png', 0.95), (3, 'jpeg', 0.95), (4, 'gif', 0.95), (5, 'webp', 0.95), (6, 'audio', 0.95), (7, 'binary', 0.95), (8, 'docx', 0.9), (9, 'xlsx', 0.9), (10, 'pptx', 0.9), (11, 'epub', 0.9), (12, 'odt', 0.9), (13, 'zip', 0.85), (14, 'json', 0.85), (15, 'yaml', 0.6), (16, 'csv', 0.6), (17, 'yaml', 0.6), (18, 'txt', 0.5), (19, 'unknown', 0.0), (20, 'toml', 0.7), (21, 'binary', 0.3), (22, 'sql', 0.7)) t(i, f, c)")
+# Fixed values of the query below: what files begin with or hold (%d is a document's number, %s the start of its text as JSON), what
+# they are named, and what they are then taken for.
+SIGNS = (
+    (b"%PDF-1.7 ", "x", "pdf", 0.95), (b"\x89PNG\r\n", "x", "png", 0.95), (b"\xff\xd8\xff\xe0", "x", "jpeg", 0.95), (b"GIF89a..", "x", "gif", 0.95), (b"RIFF0000WEBPVP8 ", "x", "webp", 0.95), (b"RIFF0000WAVEfmt ", "x", "audio", 0.95),
+    (b"RIFF0000AVI LIST", "x", "binary", 0.95), (b"PK\x03\x04..word/document.xml", "x", "docx", 0.9), (b"PK\x03\x04..xl/workbook.xml", "x", "xlsx", 0.9), (b"PK\x03\x04..ppt/slides", "x", "pptx", 0.9),
+    (b"PK\x03\x04..META-INF/container.xml", "x", "epub", 0.9), (b"PK\x03\x04..mimetypeapplication/vnd.oasis.opendocument.text", "x", "odt", 0.9), (b"PK\x03\x04..stuff", "x", "zip", 0.85),
+    ('{"a": %s}', "x", "json", 0.85), ("a: %d\nb: 2\nc: 3\n", "x", "yaml", 0.6), ("x,y\n%d,2\n", "x", "csv", 0.6), ("From: a@b\nTo: c%d\nSubject: d\n\nhi", "x", "yaml", 0.6), ("just some words %d", "x", "txt", 0.5), ("", "x", "unknown", 0.0),
+    ("# c\n[t]\na = %d\n", "x", "toml", 0.7), (bytes(range(1, 9)) * 4, "x", "binary", 0.3), ("select %d", "dump.sql", "sql", 0.7),
+)
+
+
+@query("SELECT doc_id, f AS format, c::DOUBLE AS confidence FROM documents JOIN (VALUES " + ", ".join(f"({i}, '{f}', {c})" for i, (_, _, f, c) in enumerate(SIGNS)) + f") t(i, f, c) ON i = doc_id % {len(SIGNS)}")
 def detect_signatures(spark, sf):
-    rows = [
-        b"%PDF-1.7", b"\x89PNG\r\n", b"\xff\xd8\xff\xe0", b"GIF89a..", b"RIFF0000WEBPVP8 ", b"RIFF0000WAVEfmt ", b"RIFF0000AVI LIST", b"PK\x03\x04..word/document.xml", b"PK\x03\x04..xl/workbook.xml", b"PK\x03\x04..ppt/slides",
-        b"PK\x03\x04..META-INF/container.xml", b"PK\x03\x04..mimetypeapplication/vnd.oasis.opendocument.text", b"PK\x03\x04..stuff", b'{"a": [1, 2]}', b"a: 1\nb: 2\nc: 3\n", b"x,y\n1,2\n", b"From: a@b\nTo: c\nSubject: d\n\nhi",
-        b"just some words", b"", b"# c\n[t]\na = 1\n", bytes(range(1, 9)) * 4, b"select 1",
-    ]
-    names = {22: "dump.sql"}
-    d = spark.createDataFrame([(i, bytearray(b), names.get(i, "x")) for i, b in enumerate(rows, 1)], "id int, content binary, name string")
-    return d.select("id", detect.detect("content", "name").alias("d")).select("id", "d.format", "d.confidence")
+    """Documents behind the signatures of other formats, or within small files of text formats."""
+    i, text = F.col("doc_id"), tx.text_of("text")
+    filled = lambda t: F.concat(*[{"%d": i.cast("string"), "%s": F.regexp_extract(F.to_json(F.struct(F.substring(text, 1, 100).alias("t"))), r"^\{\"t\":(.*)\}$", 1)}.get(p, F.lit(p)) for p in re.split(r"(%[ds])", t)])
+    behind = lambda b: F.substring(text, 1, 4) if b[0] == 1 else text  # noqa: E731  text would hide control characters
+    bodies = [F.concat(F.lit(bytearray(b)), F.encode(behind(b), "utf-8")) if isinstance(b, bytes) else F.encode(filled(b), "utf-8") for b, _, _, _ in SIGNS]
+    case = F.when(F.lit(False), F.lit(bytearray()))
+    for n, body in enumerate(bodies):
+        case = case.when(i % len(SIGNS) == n, body)
+    name = F.get(F.array(*(F.lit(n) for _, n, _, _ in SIGNS)), (i % len(SIGNS)).cast("int"))
+    d = docs(spark, sf).select("doc_id", case.alias("content"), name.alias("name"))
+    return d.select("doc_id", detect.detect("content", "name").alias("d")).select("doc_id", "d.format", "d.confidence")
 
 
 @query("SELECT n_nationkey AS id, n_nationkey::VARCHAR || '|' || n_name || '|' || n_regionkey AS line, 3 AS cols FROM nation")
@@ -429,11 +448,37 @@ def csv_grid(spark, sf):
     return g.select(F.get("row", F.lit(0)).cast("int").alias("id"), F.array_join("row", "|").alias("line"), F.size("row").alias("cols"))
 
 
-@query("SELECT * FROM (VALUES ('id', 'integer'), ('share', 'float'), ('day', 'date'), ('flag', 'boolean'), ('code', 'integer'), ('note', 'string'), ('col_6', 'string')) t(name, type)")
+GRID_SQL = (
+    "o AS (SELECT o_orderkey AS k, o_orderkey // 8 AS grid, ['id', 'share', 'day', 'flag', 'col_4'] AS names, [o_orderkey::VARCHAR, CASE WHEN o_orderkey // 8 % 3 = 0 THEN floor(o_totalprice)::BIGINT::VARCHAR ELSE o_totalprice::DECIMAL(12, 2)::VARCHAR END, "
+    "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderdate::DATE::VARCHAR END, CASE o_orderstatus WHEN 'O' THEN 'yes' WHEN 'F' THEN 'no' ELSE o_orderstatus END, ' '] AS cells FROM orders), "
+    "v AS (SELECT grid, unnest(range(5)) AS i, unnest(names) AS name, trim(unnest(cells)) AS c FROM o), "
+    r"every(grid, i, name, n, whole, real, day, flag) AS (SELECT grid, i, name, count(*) FILTER (c <> ''), bool_and(regexp_matches(c, '^-?\d+$')) FILTER (c <> ''), bool_and(regexp_matches(c, '^-?\d+(\.\d+)?$')) FILTER (c <> ''), bool_and(regexp_matches(c, '^\d{4}[-/]\d{1,2}[-/]\d{1,2}$')) FILTER (c <> ''), bool_and(lower(c) IN ('true', 'yes', 'y', '1', 'false', 'no', 'n', '0')) FILTER (c <> '') FROM v GROUP BY 1, 2, 3), "
+    "s AS (SELECT grid, i, name || ':' || CASE WHEN n = 0 THEN 'string' WHEN whole THEN 'integer' WHEN real THEN 'float' WHEN day THEN 'date' WHEN flag THEN 'boolean' ELSE 'string' END AS c FROM every)"
+)
+
+
+def order_grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as tables of eight rows at most under a header, cells as text."""
+    key = F.col("o_orderkey")
+    price = F.when(F.floor(key / 8) % 3 == 0, F.floor("o_totalprice").cast("string")).otherwise(F.col("o_totalprice").cast("decimal(12,2)").cast("string"))
+    cells = F.array(key.cast("string"), price, F.when(key % 5 == 0, "").otherwise(F.col("o_orderdate").cast("date").cast("string")), F.when(F.col("o_orderstatus") == "O", "yes").when(F.col("o_orderstatus") == "F", "no").otherwise(F.col("o_orderstatus")), F.lit(" "))
+    rows = read(spark, sf, "orders").groupBy(F.floor(key / 8).alias("grid")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", cells.alias("cells")))).alias("rows"))
+    header = F.array(*map(F.lit, ("id", "share", "day", "flag", "")))
+    schema = tables.infer_schema(F.concat(F.array(header), F.transform("rows", lambda r: r["cells"])))
+    return rows.select("grid", F.transform(schema, lambda c: F.concat_ws(":", c["name"], c["type"])).alias("schema"))
+
+
+@query(f"WITH {GRID_SQL} SELECT grid, string_agg(c, ',' ORDER BY i) AS schema FROM s GROUP BY 1")
 def schema_infer(spark, sf):
-    grid = [["id", "share", "day", "flag", "code", "note", ""], ["1", "0.5", "2024-01-02", "yes", "001", "a", ""], ["2", "3", "2024/1/5", "no", "", "b", ""], ["-3", "1.0", "", "", "7", "3x", ""]]
-    d = spark.createDataFrame([(grid,)], "grid array<array<string>>")
-    return d.select(F.explode(tables.infer_schema(F.col("grid"))).alias("s")).select("s.*")
+    """The columns of many small tables."""
+    return order_grids(spark, sf).select("grid", F.array_join("schema", ",").alias("schema"))
+
+
+@query(f"WITH {GRID_SQL}, f AS (SELECT grid // 8 AS doc, c, min(grid * 10 + i) AS place FROM s GROUP BY 1, 2) SELECT doc, string_agg(c, ',' ORDER BY place) AS summary FROM f GROUP BY 1")
+def schema_summary(spark, sf):
+    """All columns of a document's tables, each once."""
+    d = tables.schema_summary(order_grids(spark, sf).withColumn("doc", F.floor(F.col("grid") / 8)), "doc", "grid", "schema")
+    return d.select("doc", F.array_join("summary", ",").alias("summary"))
 
 
 @query("SELECT o_orderstatus AS col, * EXCLUDE (o_orderstatus) FROM (WITH s AS (SELECT o_orderkey // 8 AS doc, o_orderkey % 8 AS row, o_orderstatus FROM orders), g AS (SELECT *, row - row_number() OVER (PARTITION BY doc, o_orderstatus ORDER BY row) AS k FROM s) SELECT o_orderstatus, doc, min(row) AS first_row, count(*) AS rowspan FROM g GROUP BY doc, o_orderstatus, k HAVING count(*) > 1)")
@@ -493,13 +538,43 @@ def convert_structured(spark, sf):
     return e.select("doc_id", "e.type", "e.content")
 
 
-@query("SELECT 'in/' || CASE WHEN doc_id % 2 = 0 THEN 'a/' ELSE 'b/' END || 'Doc' || (doc_id // 2) || CASE WHEN doc_id % 6 < 3 THEN '.txt' ELSE '.md' END AS path, true AS one FROM documents")
+@query(
+    r"WITH p AS (SELECT 'in/' || CASE WHEN doc_id % 2 = 0 THEN 'a/' ELSE 'b/' END || 'Doc' || (doc_id // 2) || CASE WHEN doc_id % 6 < 3 THEN '.txt' ELSE '.md' END AS path, 'Doc' || (doc_id // 2) AS stem, CASE WHEN doc_id % 6 < 3 THEN '.txt' ELSE '.md' END AS ext FROM documents), "
+    r"q AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY lower(stem)) = 1 THEN stem || '.md' ELSE stem || ext || '.md' END AS name FROM p) "
+    r"SELECT path, CASE WHEN count(*) OVER (PARTITION BY lower(name)) = 1 THEN name ELSE regexp_replace(name, '\.[^./]*$', '') || '.' || left(sha1(path), 8) || '.md' END AS out FROM q"
+)
 def batch_plan(spark, sf):
-    """Unique names for files of equal stems; `one` holds when no two names are equal but for case."""
+    """Unique names for files of equal stems."""
     i = F.col("doc_id")
     path = F.concat(F.lit("in/"), F.when(i % 2 == 0, "a/").otherwise("b/"), F.lit("Doc"), F.floor(i / 2).cast("string"), F.when(i % 6 < 3, ".txt").otherwise(".md"))
-    planned = batch.plan_outputs(docs(spark, sf).select(path.alias("path")), ".md")
-    return planned.select("path", (F.count("*").over(Window.partitionBy(F.lower("out"))) == 1).alias("one"))
+    return batch.plan_outputs(docs(spark, sf).select(path.alias("path")), ".md").select("path", "out")
+
+
+@query("SELECT 'table:' || doc_id || '.txt' AS path, 'table_' || doc_id || '.md' AS out, 'ok' AS state FROM documents")
+def batch_run(spark, sf):
+    """Documents as files through a whole batch: converted, written by the sink, reported; what the report says against
+    what is in the folder."""
+    folder = f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}"
+    report = run_batch(from_text(docs(spark, sf), "doc_id", "text"), folder, deadline=7200, files_a_task=512, quality=False)
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder).select(F.regexp_extract("path", "[^/]*$", 0).alias("out"), F.sha2("content", 256).alias("sha256"))
+    return report.join(there, ["out", "sha256"]).select("path", "out", "state")
+
+
+@query("SELECT doc_id || '.txt' AS name, octet_length(encode(text)) AS length, sha256(text) AS sha256 FROM documents")
+def adapter_texts(spark, sf):
+    """A table's text column as sources, by the adapter for tables."""
+    return load(spark, f"table:{sf}/documents.parquet#doc_id,text").select("name", "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query("WITH n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new ' || text ELSE text END AS t FROM documents) SELECT doc_id, t IN (SELECT text FROM documents) AS hit, sha256('= ' || t) AS sha256 FROM n")
+def cache_second_run(spark, sf):
+    """A second run through the content cache, half of the texts changed."""
+    d = docs(spark, sf).select("doc_id", "text")
+    kept = ContentCache(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}")
+    convert = lambda rows: rows.select("key", F.concat(F.lit("= "), F.col("text")).alias("data"))
+    kept.cached(d, convert, 1_900_000_000, content="text")
+    changed = d.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("new "), F.col("text"))).otherwise(F.col("text")))
+    return kept.cached(changed, convert, 1_900_000_001, content="text").select("doc_id", "hit", F.sha2("data", 256).alias("sha256"))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (s = 'ok') AS ok, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'skipped') AS skipped, round(avg(c) FILTER (s = 'ok'), 3) AS avg_confidence, true AS balanced FROM (SELECT CASE WHEN doc_id % 9 = 0 THEN 'failed' WHEN doc_id % 9 = 1 THEN 'skipped' ELSE 'ok' END AS s, (doc_id % 100) / 100.0 AS c FROM documents)")

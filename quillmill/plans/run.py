@@ -80,12 +80,13 @@ def artifacts_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_batch(
-    sources: DataFrame, folder: str, ext: str = ".md", deadline: float = 60.0, source_dir: str | None = None, force: bool = False, files_a_task: int = FILES_A_TASK, keep_runs: int = 100, convert=translate, **options
+    sources: DataFrame, folder: str, ext: str = ".md", deadline: float = 60.0, source_dir: str | None = None, force: bool = False, files_a_task: int = FILES_A_TASK, keep_runs: int = 100, errors: bool = False, convert=translate, **options
 ) -> DataFrame:
     """Converts sources (path, name, mtime, length, content, error) into files of folder within `deadline` seconds, and
     gives a row for each: path, out, state (ok, failed, skipped), kind, message, parser, confidence, chars, size, sha256.
     Files whose output an earlier run has written, that is unchanged since and as new as its source, are skipped (unless
-    force is set). The folder then holds the files, _batch_report.json with the sums, and the rows in
+    force is set). errors leaves a note beside each output that failed. A report names keep_runs runs at most; files whose
+    run it no longer names are written again. The folder then holds the files, _batch_report.json with the sums, and the rows in
     _runs/<run>/report. The clock runs from the call on."""
     spark, began, run = sources.sparkSession, time.monotonic(), f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     spark.dataSource.register(Outputs)
@@ -98,7 +99,7 @@ def run_batch(
 
     def job() -> None:
         work = sources.join(pending, "path").repartition(max(1, -(-n // files_a_task)))
-        outputs(convert(work, carry=("out",), **options)).write.format(NAME).option("path", folder).option("run", run).mode("append").save()
+        outputs(convert(work, carry=("out",), **options)).write.format(NAME).option("path", folder).option("run", run).option("errors", str(errors).lower()).mode("append").save()
 
     late, raised = interrupted_at(spark, deadline - (time.monotonic() - began), job) if n else (False, None)
     done = checkpointed(records(spark, folder, run), "records")

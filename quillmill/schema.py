@@ -46,3 +46,6 @@ FILE_TYPE = {
 }
 
 MAX_BYTES = 100 * 1024 * 1024
+
+# Words that a table's header is known by.
+HEADER_WORDS = "id name title date time total sum price amount 编号 名称 标题 日期 时间 合计 总计 价格 数量 序号 项目 内容 备注 状态 类型 类别".split()

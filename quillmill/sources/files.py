@@ -23,17 +23,21 @@ TEXT_MEMBERS = "txt md csv tsv json yaml yml xml html htm log ini cfg conf py js
 
 
 def files(spark: SparkSession, path: str, recursive: bool = True, glob: str | None = None, extensions: list[str] | None = None, most_bytes: int = MAX_BYTES) -> DataFrame:
-    """path, name, mtime, length, content, error. Files that are too large keep their row with an error and no content;
-    only files within the bound have their content in the plan's way."""
+    """path, name, mtime, length, content, error. Files that are too large keep their row with an error and no content:
+    they come from a scan of their own that doesn't select the content, and the bound on the length is pushed into the
+    other one, so their bytes are never read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(path).withColumn("name", F.regexp_extract("path", r"[^/]*$", 0)).withColumnRenamed("modificationTime", "mtime")
+    found = reader.load(path)
+    name, none = F.regexp_extract("path", r"[^/]*$", 0), F.lit(None).cast("struct<kind:string,message:string>")
+    whole = found.where(F.col("length") <= most_bytes).select("path", name.alias("name"), F.col("modificationTime").alias("mtime"), "length", "content", none.alias("error"))
+    error = F.struct(F.lit("too_large").alias("kind"), F.concat(name, F.lit(": "), F.col("length").cast("string"), F.lit(" bytes")).alias("message"))
+    large = found.where(F.col("length") > most_bytes).select("path", name.alias("name"), F.col("modificationTime").alias("mtime"), "length", F.lit(None).cast("binary").alias("content"), error.alias("error"))
+    df = whole.union(large)
     if extensions is not None:
         df = df.where(F.substring(suffix("name"), 2, 99).isin([e.lower().lstrip(".") for e in extensions]))
-    big = F.col("length") > most_bytes
-    error = F.when(big, F.struct(F.lit("too_large").alias("kind"), F.concat(F.col("name"), F.lit(": "), F.col("length").cast("string"), F.lit(" bytes")).alias("message")))
-    return df.select("path", "name", "mtime", "length", F.when(~big, F.col("content")).alias("content"), error.alias("error"))
+    return df
 
 
 def batch_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:

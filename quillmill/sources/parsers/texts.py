@@ -14,10 +14,12 @@ from collections import Counter
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+from quillmill.schema import HEADER_WORDS
+from quillmill.sources.parsers.charsets import multi_byte, single_byte
+
 BOMS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 DEEPEST, MOST_ITEMS = 50, 50
 ATTACHMENT_CAP = 8 << 20
-HEADER_WORDS = "id name title date time total sum price amount 编号 名称 标题 日期 时间 合计 总计 价格 数量 序号 项目 内容 备注 状态 类型 类别".split()
 
 
 class Page:
@@ -36,15 +38,10 @@ class Page:
         return page | more
 
 
-def gb_like(text: str) -> bool:
-    """Whether the multi-byte characters of a decoded sample are built as Chinese text is: trail bytes from 0xA1 on."""
-    wide = [r for c in text if len(r := c.encode("gb18030", "ignore")) > 1]
-    return not wide or sum(len(r) >= 4 or r[1] >= 0xA1 for r in wide) / len(wide) >= 0.5
-
-
 def decode(data: bytes, encoding: str | None = None) -> tuple[str, dict]:
-    """Text, and how it was read: a mark at the start, then strict UTF-8, then GB18030 where it looks like it, then
-    latin-1, which is marked as lossy."""
+    """Text, and how it was read: a mark at the start, then strict UTF-8, then a multi-byte encoding whose rules and
+    common signs the whole text keeps to, then a guess among single-byte ones, which is marked as unverified; latin-1,
+    the last resort, is marked as lossy too."""
     if encoding:
         return data.decode(encoding, "replace").lstrip("\ufeff"), {"encoding": encoding}
     for bom, name in BOMS:
@@ -54,13 +51,10 @@ def decode(data: bytes, encoding: str | None = None) -> tuple[str, dict]:
         return data.decode("utf-8"), {"encoding": "utf-8"}
     except UnicodeDecodeError:
         pass
-    try:
-        text = data.decode("gb18030")
-        if gb_like(text[:16_384]):
-            return text, {"encoding": "gb18030"}
-    except UnicodeDecodeError:
-        pass
-    return data.decode("latin-1"), {"encoding": "latin-1", "encoding_verified": False, "lossy_decode": True}
+    if name := multi_byte(data):
+        return data.decode(name), {"encoding": name}
+    name = single_byte(data)
+    return data.decode(name, "replace"), {"encoding": name, "encoding_verified": False} | ({"lossy_decode": True} if name == "latin-1" else {})
 
 
 def loose(data: bytes) -> str:

@@ -7,7 +7,8 @@ elapsed_ms. A task writes each content into a file of its own in the run's draft
 rows are done it writes their records, as one file that is moved into the run's records folder. So a record stands for a
 file that is there, whole; a task that is killed leaves at most files without records, which the next run writes again,
 and drafts, which commit and abort delete. A file that can't be written is a record with the kind write_failed, not a
-failed task. Records of a task that ran twice are the same but for the attempt; records() takes one of each path.
+failed task. With the option errors, a file that failed leaves <out>.err with its kind and message, and one that is written
+again takes that away. Records of a task that ran twice are the same but for the attempt; records() takes one of each path.
 
 Folders are any that pyarrow's file systems reach (file, hdfs, s3, gs)."""
 
@@ -41,8 +42,8 @@ def opened(folder: str):
 
 
 class OutputsWriter(DataSourceArrowWriter):
-    def __init__(self, folder: str, run: str):
-        self.folder, self.run = folder.rstrip("/"), run
+    def __init__(self, folder: str, run: str, errors: bool = False):
+        self.folder, self.run, self.errors = folder.rstrip("/"), run, errors
 
     def _places(self):
         files, base = opened(self.folder)
@@ -63,12 +64,27 @@ class OutputsWriter(DataSourceArrowWriter):
                         row |= {"size": len(body), "sha256": hashlib.sha256(body).hexdigest()}
                     except Exception as e:  # noqa: BLE001  one file that can't be written is a record
                         row |= {"ok": False, "kind": "write_failed", "message": f"{type(e).__name__}: {e}"[:400]}
+                if self.errors:
+                    self._note(files, base, drafts, row)
                 lines.append(json.dumps(row, ensure_ascii=False, default=str))
         if lines:
             files.create_dir(records)
             self._publish(files, f"{drafts}/{uuid.uuid4().hex}", f"{records}/{task}.jsonl", "".join(x + "\n" for x in lines).encode("utf-8", "replace"))
         return Written(len(lines))
 
+    def _note(self, files, base: str, drafts: str, row: dict) -> None:
+        """Leaves the note of a failure, or takes an older one away."""
+        from pyarrow import fs
+
+        try:
+            at = f"{base}/{checked(row['out'])}.err"
+            if not row["ok"]:
+                self._publish(files, f"{drafts}/{uuid.uuid4().hex}", at, f"[{row['kind']}] {row['message']}".encode("utf-8", "replace"))
+            elif files.get_file_info(at).type == fs.FileType.File:
+                files.delete_file(at)
+        except (OSError, ValueError) as e:  # the record says it anyway
+            row["message"] = f"{row['message'] or ''} (no note: {type(e).__name__})".strip()
+
     @staticmethod
     def _publish(files, draft: str, target: str, body: bytes) -> None:
         with files.open_output_stream(draft) as stream:
@@ -103,7 +119,7 @@ class Outputs(DataSource):
         missing = {f.split()[0] for f in ROWS.split(", ")} - set(schema.names)
         if missing:
             raise ValueError(f"columns are missing: {', '.join(sorted(missing))}")
-        return OutputsWriter(self.options["path"], self.options["run"])
+        return OutputsWriter(self.options["path"], self.options["run"], self.options.get("errors", "false").lower() == "true")
 
 
 def checked(out: str) -> str:

@@ -51,14 +51,16 @@ def slow():
 def test_files_records_and_resume(spark, tmp_path, slow):
     src = make(tmp_path / "in", a__txt="text a", b__txt="text b", A__md="# other a", c__txt="bad", d__pdf="%PDF-1.4")
     out = f"file://{tmp_path}/out"
-    rows = told(run_batch(files(spark, src), out))
+    rows = told(run_batch(files(spark, src), out, errors=True))
+    with open(tmp_path / "out" / f"{rows['c.txt'].out}.err") as f:
+        assert f.read().startswith("[parse_failed] ValueError: no good")
     assert {n: (r.state, r.kind) for n, r in rows.items()} == {"a.txt": ("ok", None), "b.txt": ("ok", None), "A.md": ("ok", None), "c.txt": ("failed", "parse_failed"), "d.pdf": ("failed", "unsupported_format")}
     for r in rows.values():
         if r.state == "ok":
             with open(tmp_path / "out" / r.out, "rb") as f:
                 body = f.read()
             assert (len(body), hashlib.sha256(body).hexdigest()) == (r.size, r.sha256)
-    assert under(tmp_path / "out") == sorted([REPORT, *(r.out for r in rows.values() if r.state == "ok")]) and len({r.out.lower() for r in rows.values()}) == 5
+    assert under(tmp_path / "out") == sorted([REPORT, *(r.out + ".err" * (r.state != "ok") for r in rows.values())]) and len({r.out.lower() for r in rows.values()}) == 5
     with open(tmp_path / "out" / REPORT) as f:
         sums = json.load(f)
     assert (sums["total"], sums["ok_count"], sums["failed"], sums["skipped"]) == (5, 3, 2, 0)
@@ -68,9 +70,10 @@ def test_files_records_and_resume(spark, tmp_path, slow):
     again = told(run_batch(files(spark, src), out))
     assert {n: r.state for n, r in again.items()} == {"a.txt": "skipped", "A.md": "skipped", "b.txt": "ok", "c.txt": "failed", "d.pdf": "failed"}
     assert again["a.txt"].sha256 == rows["a.txt"].sha256 and again["b.txt"].sha256 == rows["b.txt"].sha256
-    third = told(run_batch(files(spark, src), out))
-    assert {n for n, r in third.items() if r.state == "skipped"} == {"a.txt", "A.md", "b.txt"}
-    assert {r.state for r in told(run_batch(files(spark, src), out, force=True)).values()} == {"ok", "failed"}
+    make(tmp_path / "in", c__txt="good now")
+    third = told(run_batch(files(spark, src), out, errors=True))
+    assert {n for n, r in third.items() if r.state == "skipped"} == {"a.txt", "A.md", "b.txt"} and third["c.txt"].state == "ok"
+    assert not os.path.exists(tmp_path / "out" / f"{third['c.txt'].out}.err")
 
 
 def test_deadline_gives_each_file_a_row(spark, tmp_path, slow):
