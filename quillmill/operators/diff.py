@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import text_of
+from quillmill.functions.text import let, text_of
 from quillmill.sources.tables import checkpointed, dropped
 
 ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"  # fixed values: the signs that end a line
 GRAMS = (8, 2)
-ROUNDS_A_WRITE = 3
+ROUNDS_A_WRITE = 8
 KEY = ["pair", "lo_a", "lo_b"]  # a region is named by its pair and where it begins
 HOME = ["pair", "of_a", "of_b"]  # the region of a run when its gram was joined; rounds make regions within it
 # Fixed value: the mark for lines left out between two changes.
@@ -30,8 +30,9 @@ LEFT_OUT = "... 省略 %d 行未变更内容 ..."
 
 def lines_of(text: str | Column) -> Column:
     """The lines of a text; one that ends with a line's end has no empty line behind it."""
-    parts = F.split(text_of(text), ENDS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    t = text_of(text)
+    parts = F.when(t.rlike(ENDS.replace("\r\n|[\n", "[")), F.split(t, ENDS)).otherwise(F.split(t, "\n"))  # a lone sign is split without a pattern
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def _runs(regions: DataFrame, gram: int) -> DataFrame:
@@ -100,19 +101,19 @@ def matching_blocks(pairs: DataFrame, grams: tuple[int, ...] = GRAMS) -> DataFra
     line j + k of b for k below n."""
     hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
     regions = pairs.select("pair", F.lit(0).alias("lo_a"), F.lit(0).alias("lo_b"), hashed("a").alias("a"), hashed("b").alias("b"))
-    regions, found = checkpointed(regions.where(F.arrays_overlap("a", "b")), "regions"), []
+    regions, found = checkpointed(regions, "regions"), []
     for gram in grams:
-        runs = _runs(regions, gram).withColumns({"of_a": F.col("lo_a"), "of_b": F.col("lo_b"), "taken": F.lit(False)})
-        runs = checkpointed(runs.select(*HOME, "taken", "lo_a", "lo_b", "i", "j", "n"), "runs")
-        while not runs.where("not taken").isEmpty():
-            later = runs
+        runs = _runs(regions.where(F.arrays_overlap("a", "b")), gram).withColumns({"of_a": F.col("lo_a"), "of_b": F.col("lo_b"), "taken": F.lit(False)})
+        open_ = checkpointed(runs.select(*HOME, "taken", "lo_a", "lo_b", "i", "j", "n"), "runs")
+        taken = open_.where("taken")
+        while not open_.isEmpty():
+            later = open_.repartition("pair")  # a round's windows are within pairs, so all rounds are one shuffle
             for _ in range(ROUNDS_A_WRITE):
                 later = _round(later, gram)
             later = checkpointed(later, "runs")
-            dropped(runs)
-            runs = later
-        found.append(runs.select("pair", "i", "j", "n"))
-        left = checkpointed(_gaps(regions, runs), "regions")
+            taken, open_ = taken.union(later.where("taken")), later.where("not taken")
+        found.append(taken.select("pair", "i", "j", "n"))
+        left = checkpointed(_gaps(regions, taken), "regions")
         dropped(regions)
         regions = left
     found.append(_singles(regions))
@@ -127,8 +128,8 @@ def blocks_by_pair(pairs: DataFrame, grams: tuple[int, ...] = GRAMS) -> DataFram
     return matching_blocks(pairs, grams).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("i", "j", "n"))).alias("blocks"))
 
 
-def _told(a: Column, b: Column, blocks: Column, context: int, most: int) -> Column:
-    """The report of one pair from its blocks."""
+def _told(a: Column, b: Column, blocks: Column, context: int, most: int) -> tuple[dict[str, Column], Column]:
+    """The report of one pair from its blocks: its counts, and what is shown of the texts."""
     whole_a, whole_b = F.size(a), F.size(b)
     stops = F.concat(blocks, F.array(F.struct(whole_a.alias("i"), whole_b.alias("j"), F.lit(0).alias("n"))))
     took = F.aggregate(blocks, F.lit(0), lambda s, x: s + x["n"])
@@ -143,8 +144,7 @@ def _told(a: Column, b: Column, blocks: Column, context: int, most: int) -> Colu
     def signed(sign: str, lines: Column, at: Column, n: Column) -> Column:
         return F.transform(F.slice(lines, at + 1, n), lambda x: F.concat(F.lit(sign), x))
 
-    def piece(s: Column, k: Column) -> Column:
-        before = F.get(stops, k - 1)
+    def piece(s: Column, before: Column) -> Column:
         i, j = F.coalesce(before["i"] + before["n"], F.lit(0)), F.coalesce(before["j"] + before["n"], F.lit(0))
         head, tail, hidden = sides(s)
         mark = F.when(~begins(s) & ~ends(s), F.array(F.format_string(LEFT_OUT, hidden))).otherwise(F.array().cast("array<string>"))
@@ -153,16 +153,14 @@ def _told(a: Column, b: Column, blocks: Column, context: int, most: int) -> Colu
         return F.concat(signed("-", a, i, s["i"] - i), signed("+", b, j, s["j"] - j), F.when(s["n"] > 0, same).otherwise(F.array().cast("array<string>")))
 
     hidden = F.aggregate(blocks, F.lit(0), lambda acc, s: acc + sides(s)[2])
-    text = F.array_join(F.flatten(F.transform(stops, piece)), "\n")
-
-    def report(whole: Column) -> Column:
-        return F.struct(
-            whole_a.alias("lines_a"), whole_b.alias("lines_b"), (whole_b - took).alias("additions"), (whole_a - took).alias("deletions"), took.alias("unchanged"), hidden.alias("elided"),
-            F.when(whole_a + whole_b > 0, F.round(2 * took / (whole_a + whole_b + F.lit(1e-9)), 3)).otherwise(F.lit(1.0)).alias("similarity"),
-            F.substring(whole, 1, most).alias("preview"), (F.length(whole) + 1 > most).alias("truncated"), F.length(whole).alias("total_chars"), blocks.alias("blocks"),
-        )
+    text = F.array_join(F.flatten(let(stops, lambda every: F.transform(every, lambda s, k: piece(s, F.get(every, k - 1))))), "\n")
 
-    return F.get(F.transform(F.array(text), report), F.lit(0))
+    counts = {
+        "lines_a": whole_a, "lines_b": whole_b, "additions": whole_b - took, "deletions": whole_a - took, "unchanged": took, "elided": hidden,
+        "similarity": F.when(whole_a + whole_b > 0, F.round(2 * took / (whole_a + whole_b + F.lit(1e-9)), 3)).otherwise(F.lit(1.0)), "blocks": blocks,
+    }
+    shown = let(text, lambda whole: F.struct(F.substring(whole, 1, most).alias("preview"), (F.length(whole) + 1 > most).alias("truncated"), F.length(whole).alias("total_chars")))
+    return counts, shown
 
 
 def diff(df: DataFrame, a: str = "a", b: str = "b", context: int = 3, most: int = 12_000) -> DataFrame:
@@ -172,8 +170,10 @@ def diff(df: DataFrame, a: str = "a", b: str = "b", context: int = 3, most: int
     keyed = checkpointed(df.select(F.monotonically_increasing_id().alias("pair"), F.struct("*").alias("row")), "pairs")
     pairs = keyed.select("pair", lines_of(F.col(f"row.{a}")).alias("a"), lines_of(F.col(f"row.{b}")).alias("b"))
     told = keyed.join(blocks_by_pair(pairs), "pair", "left").select("row", lines_of(F.col(f"row.{a}")).alias("a"), lines_of(F.col(f"row.{b}")).alias("b"), F.coalesce("blocks", F.array().cast("array<struct<i:int,j:int,n:int>>")).alias("blocks"))
-    told = told.select("row", _told(F.col("a"), F.col("b"), F.col("blocks"), context, most).alias("diff"))
-    return told.select("row.*", "diff")
+    counts, shown = _told(F.col("a"), F.col("b"), F.col("blocks"), context, most)
+    told = told.select("row", shown.alias("shown"), *(c.alias(n) for n, c in counts.items()))  # columns of their own: a query without the preview doesn't make it
+    fields = ("lines_a", "lines_b", "additions", "deletions", "unchanged", "elided", "similarity", "shown.preview", "shown.truncated", "shown.total_chars", "blocks")
+    return told.select("row.*", F.struct(*fields).alias("diff"))
 
 
 def opcodes(blocks: Column, lines_a: Column, lines_b: Column) -> Column:
