@@ -240,3 +240,15 @@ def test_windows_run_as_a_stream(spark, tmp_path):
     q = inbox.event_windows(spark.readStream.schema(e.schema).parquet(f"{tmp_path}/e")).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.event_type, r.n, r.total) for r in spark.table("w").collect()) == [("x", 2, 3.0), ("y", 1, 4.0)]
+
+
+@pytest.mark.parametrize("name", ["completeness_score", "quality_overall", "grade_histogram"])
+def test_quality_queries_equal_their_sql_where_letters_are_not_ascii(spark, tmp_path, name):
+    import __spark_entry__
+    from tests.oracle import connect, difference
+
+    texts = ["la chllaía", "et voilà", "en España", "naïve a ", "fin the ", "abc和", "or  ", "é the\nnext", "cut offé it is", "…truncatedñ", "kelvinK an", "a", "", None, "der\x0bAN\x0b", "x\x85the\x85", "TRUNCATED text"]
+    rows = [(i, t, "es", "src1", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = difference(spark, connect(str(tmp_path)), str(tmp_path), __spark_entry__.queries()[name], __spark_entry__.oracle_sql()[name])
+    assert found is None
