@@ -5,6 +5,7 @@ generation by generation: a write touches the buckets of its ids alone, and no f
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,10 +91,14 @@ def next_cursor(page: list, limit: int) -> tuple[int, str] | None:
     return (page[-1]["created_at"], page[-1]["id"]) if len(page) >= limit else None
 
 
+def searched(name: str, excerpt: str) -> Column:
+    """The text whose trigrams are posted."""
+    return F.lower(F.concat_ws("\x1f", text_of(name), F.substring(text_of(excerpt), 1, EXCERPT)))
+
+
 def postings(df: DataFrame) -> DataFrame:
     """gram, id: the trigrams of name and excerpt; candidates() meets them before the text is looked at."""
-    t = F.lower(F.concat_ws("\x1f", text_of("source_name"), F.substring(text_of("excerpt"), 1, EXCERPT)))
-    return df.select("id", F.explode(grams_of(t)).alias("gram"))
+    return df.select("id", F.explode(grams_of(searched("source_name", "excerpt"))).alias("gram"))
 
 
 def candidates(posted: DataFrame, term: str, n: int = 3) -> DataFrame:
@@ -111,9 +116,10 @@ def find_by_digest(df: DataFrame, digests: DataFrame | None = None) -> DataFrame
     return d.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def upsert(old: DataFrame, new: DataFrame, now: int) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, now: int, told: bool = False) -> DataFrame:
     """old with new's rows in place of those of the same id: an old digest stays where the new one is null, created_at
-    and starred stay, retired_at and deleted_at are cleared. Of several new rows of one id the newest counts."""
+    and starred stay, retired_at and deleted_at are cleared. Of several new rows of one id the newest counts. told adds
+    what the index's postings need: come, whether the row's text is new or another one, and was, the text before, if so."""
     w = Window.partitionBy("id").orderBy(F.desc("updated_at"), F.desc("created_at"))
     fresh = new.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     o, n = old.alias("o"), fresh.alias("n")
@@ -134,7 +140,10 @@ def upsert(old: DataFrame, new: DataFrame, now: int) -> DataFrame:
             v = F.when(is_new, b).otherwise(a)
         return v.cast(old.schema[c].dataType).alias(c)
 
-    return both.select(*map(pick, old.columns))
+    known = F.col("o.id").isNotNull()
+    was = F.when(known, searched("o.source_name", "o.excerpt"))
+    come = is_new & (~known | (was != searched("n.source_name", "n.excerpt")))
+    return both.select(*map(pick, old.columns), *([come.alias("come"), F.when(come, was).alias("was")] if told else []))
 
 
 def mark(df: DataFrame, ids: DataFrame, column: str, value: int | None) -> DataFrame:
@@ -249,22 +258,79 @@ def bucket_of(column: str | Column, buckets: int) -> Column:
     return F.pmod(F.crc32(F.col(column) if isinstance(column, str) else column), F.lit(buckets)).cast("int")
 
 
-POSTING = "gram string, field int, id string, sign int"
-
-
-def index_postings(rows: DataFrame, sign: int) -> DataFrame:
-    """POSTING of rows: the trigrams of name and excerpt (field 0) and of the id (field 1)."""
-    t = F.lower(F.concat_ws("\x1f", text_of("source_name"), F.substring(text_of("excerpt"), 1, EXCERPT)))
-    fields = F.array(F.struct(F.lit(0).alias("field"), grams_of(t).alias("g")), F.struct(F.lit(1).alias("field"), grams_of(F.lower(text_of("id"))).alias("g")))
-    return rows.select("id", F.explode(fields).alias("f")).select(F.explode("f.g").alias("gram"), "f.field", "id", F.lit(sign).alias("sign"))
+POSTING = "gram string, field int, sign int, numbers array<int>"
+ROWS_A_TASK, ROWS_A_BLOCK = 4096, 1024
+
+
+def number_of(ident: str = "id") -> Column:
+    """The number that stands for an id in postings: its crc32 less 2^31. Ids that share one are told apart by looking."""
+    return (F.crc32(F.col(ident)) - F.lit(1 << 31)).cast("int")
+
+
+def gram_places(texts: list[str], start: int = 0) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
+    """The distinct trigrams of texts, where each one's list ends, and the lists: places (from start on) of the texts
+    that hold it. More than one part only if the texts have very many different characters."""
+    n = len(texts)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(code) < 3:
+        return []
+    seen = np.zeros(int(code.max()) + 1, bool)
+    seen[code] = True
+    signs = np.flatnonzero(seen)
+    k = len(signs)
+    if k > 100_000 and n > 1:  # keys below must stay under 2^63
+        return gram_places(texts[: n // 2], start) + gram_places(texts[n // 2 :], start + n // 2)
+    at = (np.cumsum(seen) - 1)[code]
+    who = np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n))
+    key = ((at[:-2] * k + at[1:-1]) * k + at[2:]) * n + who[2:]
+    key = np.sort(key[who[:-2] == who[2:]])
+    if not len(key):
+        return []
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    gram = key // n
+    ends = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(gram))
+    first = gram[ends - 1]
+    spelt = signs[np.stack([first // (k * k), first // k % k, first % k], 1)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [([spelt[i : i + 3] for i in range(0, len(spelt), 3)], ends, key % n + start)]
+
+
+def changed_postings(rows: DataFrame) -> DataFrame:
+    """POSTING of rows with come and was: the trigrams of name and excerpt (field 0) that a row begins or ceases to hold,
+    and those of the id (field 1) of a row that is new. One Arrow pass; a gram's rows are those of a block of rows."""
+    ident = F.when(F.col("was").isNull(), F.lower(text_of("id")))
+    texts = rows.where("come").select(number_of().alias("number"), searched("source_name", "excerpt").alias("now"), "was", ident.alias("ident"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("gram", pa.string()), ("field", pa.int32()), ("sign", pa.int32()), ("numbers", pa.list_(pa.int32()))])
+
+        def posted(field, sign, texts, number):
+            for grams, ends, places in gram_places([t or "" for t in texts]):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(number[places], pa.int32()))
+                same = lambda v: pa.array(np.full(len(grams), v, np.int32))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), same(field), same(sign), lists], schema=schema)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_A_BLOCK):
+                part = batch.slice(at, ROWS_A_BLOCK)
+                number, (now, was, ident) = part.column(0).to_numpy(), (part.column(i).to_pylist() for i in (1, 2, 3))
+                yield from posted(0, 1, now, number)
+                yield from posted(0, -1, was, number)
+                yield from posted(1, 1, ident, number)
+
+    return texts.mapInArrow(run, POSTING)
 
 
 class ArtifactIndex:
     """The index as a folder of segments (see sources/segments.py). Rows lie in buckets by their id, trigram postings in
-    buckets by their gram. A batch rewrites the row buckets of its ids and appends what changes to the gram buckets of
-    its texts: a posting has the sign 1 where a text begins to hold a gram and -1 where it ends, and holds where its
-    signs add up to 1. A gram bucket of more than most_segments segments is folded into one with the next batch that
-    touches it. Rows and postings of a generation are committed together.
+    buckets by their gram: a posting names a gram and the numbers (see number_of) of the rows of one block that hold it,
+    so postings are a few bytes for each row and gram. A batch rewrites the row buckets of its ids and appends the
+    postings of the texts that it changes to the gram buckets: with the sign 1 for what a text holds and -1 for what the
+    text before it held; a row holds a gram where its signs add up to more than 0. A gram bucket of more than
+    most_segments segments is folded into one with the next batch that touches it. Rows and postings of a generation are
+    committed together. Joins are split by the number of rows and buckets by their size, so tasks don't grow with the
+    index.
 
     A batch may carry (writer, number): one whose number is not above the writer's last is left out, so a batch that is
     written again changes nothing. Two writers at once: the later commit raises Conflict and has changed nothing."""
@@ -280,15 +346,18 @@ class ArtifactIndex:
         return self.files.read([s for b, s in sorted(m["rows"].items()) if buckets is None or int(b) in buckets], SCHEMA)
 
     def _postings(self, m: dict, buckets: list[int] | None = None) -> DataFrame:
+        """gram, field, number."""
         held = [s for b, of in sorted(m["grams"].items()) if buckets is None or int(b) in buckets for s in of]
-        signs = self.files.read(held, POSTING).groupBy("gram", "field", "id").agg(F.sum("sign").cast("int").alias("sign"))
-        return signs.where("sign > 0")
+        signs = self.files.read(held, POSTING).select("gram", "field", "sign", F.explode("numbers").alias("number"))
+        return signs.groupBy("gram", "field", "number").agg(F.sum("sign").alias("sign")).where("sign > 0").drop("sign")
 
     def rows(self) -> DataFrame:
         return self._rows(self._now())
 
     def postings(self) -> DataFrame:
-        return self._postings(self._now()).select("gram", "field", "id")
+        """gram, field, id: also of ids that share a number with one that holds the gram."""
+        m = self._now()
+        return self._postings(m).join(self._rows(m).select(number_of().alias("number"), "id"), "number").select("gram", "field", "id")
 
     def get(self, ident: str) -> DataFrame:
         """The row of an id: reads its bucket only."""
@@ -312,26 +381,28 @@ class ArtifactIndex:
         if batch and m["applied"].get(batch[0], -1) >= batch[1]:
             return False
         new = checkpointed(new, "batch")
-        ids, touched = new.select("id").distinct(), self._buckets(new, m)
+        touched = self._buckets(new, m)
         if not touched:
             return False
         old = self._rows(m, touched)
-        rows = self.files.write(upsert(old, new, now).withColumn("bucket", bucket_of("id", m["buckets"])), "bucket", "rows")
-        fresh = self._rows(dict(m, rows=rows))
-        change = index_postings(old.join(ids, "id", "left_semi"), -1).union(index_postings(fresh.join(ids, "id", "left_semi"), 1))
-        change = change.groupBy("gram", "field", "id").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0")
+        tasks = -(-(old.count() + new.count()) // ROWS_A_TASK)
+        merged = upsert(old.repartition(tasks, "id"), new.repartition(tasks, "id"), now, told=True)
+        rows = self.files.write(merged.withColumn("bucket", bucket_of("id", m["buckets"])), "bucket", "rows")
+        change = changed_postings(self.files.read([s for _, s in sorted(rows.items())], f"{SCHEMA}, come boolean, was string"))
         change = self.files.write(change.withColumn("bucket", bucket_of("gram", m["gram_buckets"])), "bucket", "grams")
         grams = {b: [*m["grams"].get(b, []), s] for b, s in change.items()}
-        self._commit(m, "upsert", now, rows, self._folded(grams, self.most_segments, m["gram_buckets"]), batch)
+        self._commit(m, "upsert", now, rows, self._folded(dict(m, rows=m["rows"] | rows), grams, self.most_segments), batch)
         dropped(new)
         return True
 
-    def _folded(self, grams: dict[str, list[str]], most: int, n: int) -> dict[str, list[str]]:
+    def _folded(self, m: dict, grams: dict[str, list[str]], most: int) -> dict[str, list[str]]:
         """grams with one segment in place of more than `most`."""
         full = {b: s for b, s in grams.items() if len(s) > most}
         if not full:
             return grams
-        held = self._postings({"grams": full}).withColumn("bucket", bucket_of("gram", n))
+        blocks = max(1, self._rows(m).count() // ROWS_A_TASK)
+        held = self._postings({"grams": full}).groupBy("gram", "field", F.pmod("number", F.lit(blocks)).alias("block")).agg(F.collect_list("number").alias("numbers"))
+        held = held.select("gram", "field", F.lit(1).alias("sign"), "numbers", bucket_of("gram", m["gram_buckets"]).alias("bucket"))
         made = self.files.write(held, "bucket", "grams")
         return grams | {b: [made[b]] if b in made else [] for b in full}
 
@@ -363,15 +434,17 @@ class ArtifactIndex:
         return {"scanned": scanned, "indexed": n, "skipped": scanned - n}
 
     def found(self, term: str) -> DataFrame:
-        """Rows that hold all trigrams of a term in their name and excerpt, or in their id. Reads the gram buckets of the
-        term's grams, and of the rows the buckets that these name."""
+        """Rows that hold all trigrams of a term in their name and excerpt, or in their id (and rows that share a number
+        with one of these). Reads the gram buckets of the term's grams, and of the rows the buckets that these name."""
         m = self._now()
         t = F.lower(F.lit(search_term(term)))
         asked = self.spark.range(1).select(F.explode(grams_of(t)).alias("gram")).select("gram", bucket_of("gram", m["gram_buckets"]).alias("b")).collect()  # the term's own
         held = self._postings(m, [r.b for r in asked]).where(F.col("gram").isin([r.gram for r in asked]))
-        ids = held.groupBy("field", "id").agg(F.count("*").alias("k")).where(F.col("k") == len(asked)).select("id").distinct()
-        ids = checkpointed(ids, "found")
-        return self._rows(m, self._buckets(ids, m)).join(ids, "id", "left_semi").select(*(x.rsplit(" ", 1)[0] for x in SCHEMA.split(", ")))
+        found = held.groupBy("field", "number").agg(F.count("*").alias("k")).where(F.col("k") == len(asked)).select("number").distinct()
+        found = checkpointed(found, "found")
+        named = found.select(F.pmod(F.col("number") + F.lit(1 << 31), F.lit(m["buckets"])).cast("int").alias("b")).distinct()
+        rows = self._rows(m, [r.b for r in named.collect()])  # a number for each bucket at most
+        return rows.join(found, number_of() == F.col("number"), "left_semi")
 
     def search(self, term: str) -> DataFrame:
         """All live rows that hold a term (three characters or more), with their mode."""
@@ -391,7 +464,7 @@ class ArtifactIndex:
     def vacuum(self, keep: int = 1) -> None:
         """Folds all postings and deletes what only older generations hold."""
         m = self._now()
-        grams = self._folded(m["grams"], 1, m["gram_buckets"])
+        grams = self._folded(m, m["grams"], 1)
         if grams != m["grams"]:
             self._commit(m, "vacuum", None, grams=grams)
         self.files.sweep(keep, lambda k: [*k["rows"].values(), *(s for of in k["grams"].values() for s in of)])

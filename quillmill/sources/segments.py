@@ -68,10 +68,10 @@ class Segments:
             raise
 
     def write(self, rows: DataFrame, bucket: str, name: str) -> dict[str, str]:
-        """Writes rows as a segment for each value of the column bucket; gives their folders by bucket. A bucket's rows
-        are one task's, so a bucket should be as large as a task's work."""
+        """Writes rows as a segment for each value of the column bucket; gives their folders by bucket. Rows are brought
+        together by bucket, and a bucket that is large is split among tasks by its size."""
         folder = f"segments/{name}-{uuid.uuid4().hex}"
-        rows.repartition(bucket).write.partitionBy(bucket).parquet(f"{self.path}/{folder}")
+        rows.hint("rebalance", bucket).write.partitionBy(bucket).parquet(f"{self.path}/{folder}")
         return {n.split("=", 1)[1]: f"{folder}/{n}" for n in self._names(folder) if n.startswith(f"{bucket}=")}
 
     def read(self, segments: list[str], schema: str) -> DataFrame:

@@ -148,3 +148,36 @@ def test_resolve_has_no_nested_loops(spark):
     plan = index._holding(asked, index.live(table))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert index.resolve(table, asked.where("false")).count() == 0
+
+
+def test_postings_are_lists_by_blocks_of_rows(spark, ix):
+    ix.upsert(rows(spark, range(300)), 50)
+    m = ix.files.manifest()
+    kept = ix.files.read([s for of in m["grams"].values() for s in of], index.POSTING)
+    posted = ix.postings()
+    assert kept.count() < posted.count() / 4  # not a row for each gram of each text
+    table = ix.rows()
+    want = table.select("id", F.explode(index.grams_of(index.searched("source_name", "excerpt"))).alias("gram"))
+    assert posted.where("field = 0").select("id", "gram").exceptAll(want).isEmpty() and want.exceptAll(posted.where("field = 0").select("id", "gram")).isEmpty()
+
+
+def test_a_large_bucket_is_split_among_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "ROWS_A_TASK", 200)
+    one = index.ArtifactIndex(spark, f"file://{tmp_path}/one", buckets=1, gram_buckets=1)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "16k")
+    try:
+        one.upsert(rows(spark, range(2000), excerpt="repeat(sha2(cast(n as string), 256), 4)"), 50)
+    finally:
+        spark.conf.unset(size)
+    assert len(one.rows().inputFiles()) > 1 and len(one._postings(one.files.manifest()).inputFiles()) > 1
+    assert one.rows().count() == 2000 and [r.id for r in one.search("name1234.txt").collect()] == ["a1234"]
+
+
+def test_grams_of_any_characters(spark, ix):
+    texts = ["a\x00b\x00", "\U0001f600\U0001f601x\U0001f600", "İstanbul ΣΑΣ", "ab", "", None, "xx\x1fyy\n\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n long, t string")
+    made = df.select(*((F.expr({"id": "'a' || n", "source_name": "'n'", "excerpt": "t", "created_at": "n", "updated_at": "1"}.get(n, "null"))).cast(t).alias(n) for n, t in FIELDS))
+    ix.upsert(made, 1)
+    want = made.select("id", F.explode(index.grams_of(index.searched("source_name", "excerpt"))).alias("gram")).collect()
+    assert sorted(want) == sorted(ix.postings().where("field = 0").select("id", "gram").collect())
