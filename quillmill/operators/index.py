@@ -178,8 +178,8 @@ def retention(df: DataFrame, now: int, days: int = 7, most_bytes: int = 500 << 2
 def resolve(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (ref) with the id that it names: the id itself, else an id's start (4 characters or more), else a file name
     (case apart), else the newest row whose excerpt holds it (case apart). Each step looks only for what the steps before
-    left, and each is a join on equal keys: a start is one of the lengths that refs have, and text is met by the ref's
-    rarest trigram (the whole of a shorter ref) before it is looked at."""
+    left, and each is a join on equal keys: a start is one of the lengths that refs have, and for pieces of text see
+    _holding()."""
     d = live(df)
     newest = lambda rows, how: rows.groupBy("ref").agg(F.max_by("id", F.struct("created_at", "id")).alias("id")).withColumn("how", F.lit(how))
     left = checkpointed(wanted.where(F.col("ref").isNotNull()).select("ref").distinct(), "refs")
@@ -200,18 +200,93 @@ def resolve(df: DataFrame, wanted: DataFrame) -> DataFrame:
 LONGEST_ID = 64
 
 
+FILTER_BITS = 24
+
+
+def _anchor_places(code: np.ndarray, size: int) -> np.ndarray:
+    """For each run of `size` (a power of two) characters its place among 2 ** FILTER_BITS."""
+    h, k = (code.astype(np.uint64) + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15), 1
+    while k < size:
+        h = h[:-k] * np.uint64(0xBF58476D1CE4E5B9) + (h[k:] ^ (h[k:] >> np.uint64(29)))
+        k *= 2
+    return ((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - FILTER_BITS)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _contexts(texts: DataFrame, sizes: list[int], passed: np.ndarray, most: int = 200_000) -> DataFrame:
+    """q, context, id, created_at of texts (id, created_at, _t): for each size q the runs of 2 q - 1 characters (fewer at
+    a text's end) whose first q have a place that is passed, each with the newest of a task's rows that hold it."""
+    packed = np.packbits(passed)
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("q", pa.int32()), ("context", pa.string()), ("id", pa.string()), ("created_at", pa.int64())])
+        held, passed = {}, np.unpackbits(packed).view(bool)
+
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array([q for q, _ in held], pa.int32()), pa.array([c for _, c in held], pa.string()), pa.array([v[2] for v in held.values()], pa.string()), pa.array([v[1] if v[0] else None for v in held.values()], pa.int64())], schema=schema)
+            held.clear()
+            return batch
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_A_BLOCK):
+                rows = zip(*(c.to_pylist() for c in batch.slice(at, ROWS_A_BLOCK).columns), strict=True)
+                rows = sorted((((c is not None, c or 0, i), t) for i, c, t in rows if t), reverse=True)  # the newest first
+                if not rows:
+                    continue
+                code, n = _codes("".join(t for _, t in rows)), np.array([len(t) for _, t in rows])
+                who, begin = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                for q in sizes:
+                    if len(code) < q:
+                        continue
+                    hit = np.flatnonzero(passed[_anchor_places(code, q)] & (who[: len(code) - q + 1] == who[q - 1 :]))
+                    if q <= 2:  # few different ones: each once, with its first place
+                        key = code[hit].astype(np.int64) + 1
+                        for k in range(1, 2 * q - 1):
+                            there = np.minimum(hit + k, len(code) - 1)
+                            key = key << 21 | np.where((hit + k < len(code)) & (who[there] == who[hit]), code[there].astype(np.int64) + 1, 0)
+                        hit = hit[np.unique(key, return_index=True)[1]]
+                    for r, i in zip(who[hit].tolist(), (hit - begin[who[hit]]).tolist(), strict=True):
+                        newest, text = rows[r]
+                        key = (q, text[i : i + 2 * q - 1])
+                        if key not in held or held[key] < newest:
+                            held[key] = newest
+                    if len(held) > most:
+                        yield out()
+        if held:
+            yield out()
+
+    return texts.mapInArrow(run, "q int, context string, id string, created_at long")
+
+
 def _holding(refs: DataFrame, rows: DataFrame) -> DataFrame:
-    """ref, id, created_at where the row's excerpt holds the ref."""
-    n = F.least(F.lit(3), F.length("_r"))
-    asked = refs.where("ref <> ''").withColumn("_r", F.lower("ref")).select("ref", "_r", F.explode(grams_of(F.col("_r"), n)).alias("gram"))
-    texts = rows.select("id", "created_at", F.lower(text_of("excerpt")).alias("_t"))
-    sizes = [r[0] for r in asked.select(F.length("gram")).distinct().collect()]  # 1, 2 and 3 at most
-    held = texts.select("id", F.explode(F.array_distinct(F.flatten(F.array(*(grams_of(F.col("_t"), k) for k in sizes)))) if sizes else F.array().cast("array<string>")).alias("gram"))
-    held = held.join(asked.select("gram").distinct(), "gram", "left_semi")
-    counts = held.groupBy("gram").agg(F.count("*").alias("k"))
-    rarest = asked.join(counts, "gram").groupBy("ref", "_r").agg(F.min_by("gram", F.struct("k", "gram")).alias("gram"), F.count("*").alias("known"), F.first(F.size(grams_of(F.col("_r"), n))).alias("all"))
-    met = rarest.where(F.col("known") == F.col("all")).join(held, "gram")  # a gram that no text holds: nothing holds the ref
-    return met.join(texts, "id").where(F.contains("_t", "_r")).select("ref", "id", "created_at")
+    """ref, id, created_at: of the rows whose excerpt holds a ref the newest ones, the newest of all among them. A ref's
+    anchor is as many of its first characters as the largest power of two that it is long, so a ref lies in the 2 q - 1
+    characters from its anchor on. One pass over the texts finds the places of anchors by a filter of fixed size (which
+    may pass others) and sends each context once a task; contexts and refs are joined by their anchors, and the ref must
+    begin the context. So no text leaves its task, however many refs it holds."""
+    q = F.expr("shiftleft(1, length(bin(length(_r))) - 1)")
+    asked = refs.where("ref <> ''").withColumn("_r", F.lower("ref")).withColumn("q", q).withColumn("anchor", F.substring("_r", F.lit(1), F.col("q")))
+
+    def places(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(_anchor_places(_codes(a), q)[0]) for q, a in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.int32())], names=["place"])
+
+    words = asked.select("q", "anchor").mapInArrow(places, "place int").groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, place & 63))").alias("bits")).toArrow()  # 2 ** 18 rows at most
+    bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sizes = sorted(r[0] for r in asked.select("q").distinct().collect())  # a number for each power of two at most
+    passed = np.unpackbits(bits.astype("<i8").view(np.uint8), bitorder="little").view(bool)
+    texts = rows.where(F.col("id").isNotNull()).select("id", F.col("created_at").cast("long").alias("created_at"), F.lower(text_of("excerpt")).alias("_t"))
+    met = _contexts(texts, sizes, passed).groupBy("q", "context").agg(F.max(F.struct("created_at", "id")).alias("newest"))
+    met = met.withColumn("anchor", F.substring("context", F.lit(1), F.col("q")))
+    return asked.join(met, ["q", "anchor"]).where(F.startswith("context", "_r")).select("ref", "newest.id", "newest.created_at")
 
 
 def sibling_sources(artifacts: DataFrame, files: DataFrame) -> DataFrame:

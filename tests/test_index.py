@@ -181,3 +181,22 @@ def test_grams_of_any_characters(spark, ix):
     ix.upsert(made, 1)
     want = made.select("id", F.explode(index.grams_of(index.searched("source_name", "excerpt"))).alias("gram")).collect()
     assert sorted(want) == sorted(ix.postings().where("field = 0").select("id", "gram").collect())
+
+
+def test_resolve_finds_the_newest_text_of_every_length(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = {f"a{n:04d}": "".join(rng.choice("abcé\U0001f600\x00 ") for _ in range(rng.choice((0, 1, 2, 3, 30, 90)))) for n in range(200)}
+    made = spark.createDataFrame([(i, t, n % 40) for n, (i, t) in enumerate(texts.items())], "id string, excerpt string, created_at long").withColumns({"source_name": F.lit("none"), "deleted_at": F.lit(None).cast("long")})
+    refs = {t[at : at + n].upper() for t in texts.values() for n in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 31, 40) for at in (0, 5, max(0, len(t) - n)) if t[at : at + n]} | {"zz", "abcabcabcabcabcabc" * 9}
+    refs = {x for x in refs if x.lower() not in texts}
+    got = {r.ref: (r.id, r.how) for r in index.resolve(made, spark.createDataFrame([(x,) for x in refs], "ref string")).collect()}
+    newest = lambda x: max(((n % 40, i) for n, (i, t) in enumerate(texts.items()) if x.lower() in t), default=(0, None))[1]
+    assert got == {x: (newest(x), "content") for x in refs if newest(x)}
+
+
+def test_resolve_sends_no_text_for_each_ref_that_it_holds(spark):
+    table, asked = rows(spark, range(300), excerpt="repeat('Some text ', 100)"), spark.createDataFrame([("text s",), ("me text",), ("no such text",)], "ref string")
+    held = index._holding(asked, index.live(table)).collect()  # every text holds both; one row is enough of each
+    assert {(r.ref, r.id) for r in held if r.created_at == 1299} == {("text s", "a0299"), ("me text", "a0299")} and len(held) <= 2 * 4
