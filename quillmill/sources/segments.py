@@ -67,11 +67,12 @@ class Segments:
                 raise Conflict(f"generation {manifest['generation']} has been written meanwhile") from e
             raise
 
-    def write(self, rows: DataFrame, bucket: str, name: str) -> dict[str, str]:
+    def write(self, rows: DataFrame, bucket: str, name: str, together: bool = True) -> dict[str, str]:
         """Writes rows as a segment for each value of the column bucket; gives their folders by bucket. Rows are brought
-        together by bucket, and a bucket that is large is split among tasks by its size."""
+        together by bucket, and a bucket that is large is split among tasks by its size; or else each task writes a file
+        into each bucket that it has rows of, and nothing is shuffled."""
         folder = f"segments/{name}-{uuid.uuid4().hex}"
-        rows.hint("rebalance", bucket).write.partitionBy(bucket).parquet(f"{self.path}/{folder}")
+        (rows.hint("rebalance", bucket) if together else rows).write.partitionBy(bucket).parquet(f"{self.path}/{folder}")
         return {n.split("=", 1)[1]: f"{folder}/{n}" for n in self._names(folder) if n.startswith(f"{bucket}=")}
 
     def read(self, segments: list[str], schema: str) -> DataFrame:

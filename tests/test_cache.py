@@ -65,3 +65,23 @@ def test_untouched_buckets_stay(spark, cache):
     after = cache.files.manifest()
     assert sum(after["rows"][b] != s for b, s in before["rows"].items()) == 1 == len(after["touched"])
     assert cache.cached(sources(spark, []), convert, 1002).count() == 0
+
+
+def test_data_is_written_once_and_folded(spark, tmp_path):
+    cache = ContentCache(spark, f"file://{tmp_path}/fold", ttl=100, keep=400, buckets=2, most_segments=2)
+    n, convert = counted(spark)
+    rows = sources(spark, range(20, 40))
+    cache.cached(rows, convert, 1000)
+    before = cache.files.manifest()
+    assert all(r.hit and r.data == f"TEXT {r.n}" for r in cache.cached(rows, convert, 1001).collect())
+    assert cache.files.manifest()["data"] == before["data"] and n.value == 20  # a hit rewrites no data
+    for at in range(4):
+        cache.cached(sources(spark, range(50 + 20 * at, 70 + 20 * at)), convert, 1050 + at)
+    m = cache.files.manifest()
+    assert max(map(len, m["data"].values())) <= 2 and n.value == 100
+    held = {r.data: r.access_count for r in cache.entries().collect()}
+    assert held == {f"TEXT {i}": 2 if i < 40 else 1 for i in [*range(20, 40), *range(50, 130)]}
+    assert {(r.data, r.hit) for r in cache.cached(rows, convert, 1060, refresh=True).collect()} == {(f"TEXT {i}", False) for i in range(20, 40)} and n.value == 120
+    cache.purge(1155)  # only what was made anew stays
+    cache.sweep()
+    assert {r.data for r in cache.entries().collect()} == {f"TEXT {i}" for i in range(20, 40)} == {r.data for r in cache._data(cache.files.manifest()).collect()}
