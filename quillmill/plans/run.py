@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillmill.operators.batch import plan_outputs, resume
 from quillmill.plans.translate import translate
-from quillmill.sources.sink import NAME, Outputs, get, put, records
+from quillmill.sources.sink import NAME, Outputs, current, get, put, records
 from quillmill.sources.tables import checkpointed
 
 REPORT = "_batch_report.json"
@@ -72,11 +72,8 @@ def artifacts_of(spark: SparkSession, folder: str) -> DataFrame:
         every = one if every is None else every.unionByName(one)
     if every is None:
         return spark.createDataFrame([], "out string, path string, size long, sha256 string, now_size long, now_sha256 string, out_mtime timestamp, run string")
-    here = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    here = here.withColumn("out", F.element_at(F.split(F.col("path"), F.lit("/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/"), 2), -1)).where(~F.col("out").startswith("_"))
-    now = here.select("out", F.col("length").alias("now_size"), F.sha2("content", 256).alias("now_sha256"), F.col("modificationTime").alias("out_mtime"))
     latest = every.groupBy("out").agg(F.max_by(F.struct("path", "size", "sha256", "run"), "run").alias("r")).select("out", "r.*")
-    return latest.join(now, "out")
+    return current(latest.where(~F.col("out").startswith("_")), folder)
 
 
 def run_batch(

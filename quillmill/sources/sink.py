@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 NAME = "quillmill_outputs"
@@ -142,6 +143,33 @@ def records(spark: SparkSession, folder: str, run: str) -> DataFrame:
     return every.groupBy("path").agg(F.max_by(F.struct(*names), F.struct("ok", "task")).alias("r")).select("r.*")
 
 
+def current(named: DataFrame, folder: str, files_a_task: int = 4096) -> DataFrame:
+    """named (out) with now_size, now_sha256 and out_mtime of the files of these names in folder; rows whose file isn't
+    there are left out. Each task opens the files of its rows, so nothing lists the folder."""
+    schema = T.StructType([*named.schema, T.StructField("now_size", T.LongType()), T.StructField("now_sha256", T.StringType()), T.StructField("out_mtime", T.TimestampType())])
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        files, base = opened(folder)
+        last = pa.schema(list(to_arrow_schema(schema))[-3:])
+        for b in batches:
+            places, found = [], []
+            for i, out in enumerate(b.column(at).to_pylist()):
+                info = files.get_file_info(f"{base}/{out}")
+                if info.type == fs.FileType.File:
+                    with files.open_input_stream(f"{base}/{out}") as stream:
+                        found.append((info.size, hashlib.sha256(stream.read()).hexdigest(), info.mtime))
+                    places.append(i)
+            kept = b.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, f.type) for c, f in zip(zip(*found, strict=True) if found else ((), (), ()), last, strict=True))], names=schema.names)
+
+    at = named.columns.index("out")
+    return named.repartition(max(1, -(-named.count() // files_a_task))).mapInArrow(run, schema)
+
+
 def put(folder: str, name: str, text: str) -> None:
     """One small file, written beside its name and moved there."""
     files, base = opened(folder)

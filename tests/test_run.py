@@ -143,3 +143,18 @@ def test_records_come_after_their_files(tmp_path, monkeypatch):
     batch = pa.RecordBatch.from_pylist([{"path": f"p{i}", "out": f"{i}.md", "ok": True, "kind": None, "message": None, "content": "x", "parser": "t", "confidence": 1.0, "elapsed_ms": 1} for i in range(3)])
     OutputsWriter(f"file://{tmp_path}", "r").write(iter([batch]))
     assert seen[:3] == ["0.md", "1.md", "2.md"] and seen[3].endswith(".jsonl") and len(seen) == 4
+
+
+def test_current_opens_the_files_that_are_named(spark, tmp_path):
+    import hashlib
+
+    from quillmill.sources.sink import current
+
+    for name, body in (("a.md", b"one"), ("b c.md", b""), ("other.md", b"x")):
+        (tmp_path / name).write_bytes(body)
+    named = spark.createDataFrame([("a.md", 1), ("b c.md", 2), ("gone.md", 3)], "out string, n int")
+    got = {(r.n, r.out, r.now_size, r.now_sha256, r.out_mtime is not None) for r in current(named, str(tmp_path)).collect()}
+    assert got == {(1, "a.md", 3, hashlib.sha256(b"one").hexdigest(), True), (2, "b c.md", 0, hashlib.sha256(b"").hexdigest(), True)}
+    assert current(named, f"file://{tmp_path}")._jdf.queryExecution().toString().find("binaryFile") < 0  # no listing of the folder
+    seen = current(named, str(tmp_path)).where("n = 1").first().out_mtime.timestamp()
+    assert abs(seen - (tmp_path / "a.md").stat().st_mtime) < 1
