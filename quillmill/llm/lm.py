@@ -7,10 +7,12 @@ P(class | h) (c + 1) / (N_class + V_class + 1) for the other words, whose last s
 probabilities sum to 1. The network is a gated recurrent unit (reset after the product), trained by backpropagation
 truncated at window steps, with the state carried from window to window and cleared between documents.
 
-A pilot on a bounded number of documents, whole, gives all tasks one start; then each task trains on all of its
-training documents, and the weights are averaged by tokens in the cluster. Counts use every training document. Scoring
-runs the documents of a batch side by side, carries each one's state over its whole length, and adds up log10 P of
-every word and the end.
+Texts are split into words twice: for the counts, and once more to write each document's ids, from which both training
+and scoring read. A pilot on a bounded number of documents, whole, gives all tasks one start; then each task trains on
+all of its training documents, and the weights are averaged by tokens in the cluster. Counts use every training
+document. Scoring runs documents of like length side by side, carries each one's state over its whole length, and adds
+up log10 P of every word and the end. How rows are split over tasks decides which documents a net sees, so scores differ
+a little with it.
 
 Counts of the commonest lookup_words words travel to the tasks; that is a bound. All other words of a document are
 joined with the full table of counts.
@@ -24,6 +26,7 @@ base score. An empty table gives an empty one.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -34,6 +37,7 @@ from quillmill.llm.common import commonest, durable, map_batches, table
 
 TRIGRAMS = 4096
 BLOCK = 4096
+PIECE = 512  # rows that are worked on at once, so that they stay in a core's cache
 DEFAULTS = {"soft_words": 8192, "lookup_words": 100_000, "rare": 32, "in_class": 128, "width": 24, "hidden": 32, "window": 16, "streams": 256, "pilot_docs": 500, "seed": 5}
 
 
@@ -86,6 +90,23 @@ class Spelling:
         return cls(np.ascontiguousarray(centres.T))
 
 
+def softmax(logits: Callable[[], np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows that logits() makes: their exps, the sums of these, and the log probability of each row's place `at`.
+    Rows are shifted by their maxima only where sums would leave the range of float32."""
+    a, rows = logits(), np.arange(len(at))
+    chosen = a[rows, at]
+    with np.errstate(over="ignore", invalid="ignore"):
+        np.exp(a, out=a)
+        sums = a @ np.ones(a.shape[1], np.float32)
+    if len(at) and not (sums.min() > 1e-25 and sums.max() < 1e30):
+        a = logits()
+        a -= a.max(1, keepdims=True)
+        chosen = a[rows, at]
+        np.exp(a, out=a)
+        sums = a.sum(1)
+    return a, sums, chosen - np.log(sums)
+
+
 class Network:
     """ids: 0..S-1 common words, S the end, S+1.. rare classes. Output classes: those of common words, then the end,
     then the rare ones. within[c] holds the ids of class c."""
@@ -123,103 +144,153 @@ class Network:
         for m in self.members:
             self.p["bk"][m] = np.log((counts[m] + 1) / (counts[m] + 1).sum())
 
-    def step(self, gx: np.ndarray, h: np.ndarray):
-        k = self.hidden
-        hu = h @ self.p["uh"]
-        zr = 1 / (1 + np.exp(-(gx[:, : 2 * k] + hu[:, : 2 * k])))
-        c = np.tanh(gx[:, 2 * k :] + zr[:, k:] * hu[:, 2 * k :])
-        return c + zr[:, :k] * (h - c), zr, c, hu[:, 2 * k :]
-
-    def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def gates(self, name: str, signed: bool = False) -> np.ndarray:
+        """A weight of all gates as one matrix for each; signed: those of the two sigmoid gates negated."""
+        w = np.ascontiguousarray(self.p[name].reshape(-1, 3, self.hidden).transpose(1, 0, 2))
+        if signed:
+            w[:2] *= -1
+        return w
+
+    def step(self, gx: np.ndarray, h: np.ndarray, uh: np.ndarray, hu=None, zr=None, c=None, out=None) -> np.ndarray:
+        """The next state. gx and uh by gates and signed; the rest is written where it is given."""
+        hu = np.matmul(h, uh, out=hu)
+        zr = np.add(gx[:2], hu[:2], out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        c = np.multiply(zr[1], hu[2], out=c)
+        c += gx[2]
+        np.tanh(c, out=c)
+        h = np.subtract(h, c, out=out)
+        h *= zr[0]
+        h += c
+        return h
+
+    def words(self) -> np.ndarray:
+        """Output weights of the common words by class and place, each with its bias; a bias of -1e30 where no word is."""
+        w = np.zeros((len(self.members), max(map(len, self.members), default=0), self.hidden + 1), np.float32)
+        w[:, :, -1] = -1e30
+        cls, at = self.class_of[: self.soft], self.place[: self.soft]
+        w[cls, at, :-1], w[cls, at, -1] = self.p["wk"], self.p["bk"]
+        return w
+
+    def by_class(self, h: np.ndarray, y: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+        """All rows in the order of their classes, so common words first: which they are, their h with a one behind, the
+        classes of common words as (class, begin, end), and the common words' places."""
+        order = np.argsort(cls.astype(np.int16) if self.n_classes < 1 << 15 else cls, kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(len(self.members) + 1)).tolist()
+        ones = np.empty((len(order), self.hidden + 1), np.float32)
+        ones[:, :-1], ones[:, -1] = h.take(order, 0), 1
+        return order, ones, [(c, i, j) for c, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j], self.place[y[order[: cuts[-1]]]]
+
+    def log_probs(self, h: np.ndarray, y: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
         """Natural logs of P(class | h), and of P(word | class, h) too where y is a common word."""
-        cls = self.class_of[y]
-        a = h @ self.p["wc"] + self.p["bc"]
-        a -= a.max(1, keepdims=True)
-        out = a[np.arange(len(y)), cls] - np.log(np.exp(a).sum(1))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.members) + 1))
-        for c, m in enumerate(self.members):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows) and len(m) > 1:
-                a = h[rows] @ self.p["wk"][m].T + self.p["bk"][m]
-                a -= a.max(1, keepdims=True)
-                out[rows] += a[np.arange(len(rows)), self.place[y[rows]]] - np.log(np.exp(a).sum(1))
+        cls, out, words = self.class_of[y], np.empty(len(y)), self.words() if words is None else words
+        for i in range(0, len(y), PIECE):
+            out[i : i + PIECE] = softmax(lambda i=i: h[i : i + PIECE] @ self.p["wc"] + self.p["bc"], cls[i : i + PIECE])[2]
+        order, ones, classes, places = self.by_class(h, y, cls)
+        for c, i, j in classes:
+            out[order[i:j]] += softmax(lambda c=c, i=i, j=j: ones[i:j] @ words[c].T, places[i:j])[2]
         return out
 
     def train(self, y: np.ndarray, streams: int, window: int, rate: float, memory: dict | None = None) -> float:
         """One pass over the tokens y (documents one after another, each with its end), cut into streams; Adagrad.
-        Streams are of equal length: the first tokens come again where the last stream would be shorter. The mean loss."""
+        Streams are of equal length: the first tokens come again where the last stream would be shorter. The mean loss.
+        Arrays are by gate, so that every operation runs over whole arrays; of a step back only what depends on the step
+        behind it is done step by step."""
         if not len(y):
             return 0.0
         streams = max(1, min(streams, len(y) // (2 * window)))
         steps = -(-len(y) // streams)
         y = np.resize(y, streams * steps)
         end, p, k = self.soft, self.p, self.hidden
-        x = np.concatenate([[end], y[:-1]]).reshape(streams, steps).T
-        y = y.reshape(streams, steps).T
+        x = np.ascontiguousarray(np.concatenate([[end], y[:-1]]).reshape(streams, steps).T)
+        y = np.ascontiguousarray(y.reshape(streams, steps).T)
         g2 = memory if memory is not None else {n: np.full(v.shape if n not in ("emb", "wk") else (len(v), 1), 1e-6, np.float32) for n, v in p.items()}
+        words, known = self.words(), (self.class_of[: self.soft], self.place[: self.soft])
+        slopes = np.zeros_like(words)
+        of_words, of_biases = np.ones(words.shape[:2], np.float32), np.ones(words.shape[:2], np.float32)
+        of_words[known], of_biases[known] = g2["wk"][:, 0], g2["bk"]
+        most = min(window, steps)
+        buffers = [np.empty((*gate, most, streams, k), np.float32) for gate in ((), (), (), (), (3,), (2,), (3,), (3,))]
         h, total = np.zeros((streams, k), np.float32), 0.0
         for t0 in range(0, steps, window):
             xs, ys = x[t0 : t0 + window], y[t0 : t0 + window]
             n = xs.shape[0]
-            e = p["emb"][xs]
-            gx = e @ p["wx"] + p["b"]
+            h0, hs, c, dhs, hu, zr, slope, du = (b[..., :n, :, :] for b in buffers)
+            if n < most:
+                h0, hs, c, dhs, hu, zr, slope, du = (np.ascontiguousarray(b) for b in (h0, hs, c, dhs, hu, zr, slope, du))
+            wide = lambda b: b.reshape(*b.shape[:-3], n * streams, k)
+            e = p["emb"].take(xs.reshape(-1), 0)
+            wx, uh = self.gates("wx"), self.gates("uh", signed=True)
+            gx = np.matmul(e, self.gates("wx", signed=True))
+            gx += p["b"].reshape(3, 1, k) * np.array([-1, -1, 1], np.float32)[:, None, None]
+            gx = gx.reshape(3, n, streams, k)
             keep = (xs != end).astype(np.float32)[:, :, None]
-            hs, saved = np.empty((n, streams, k), np.float32), []
             for t in range(n):
-                h = h * keep[t]
-                new, zr, c, hc = self.step(gx[t], h)
-                saved.append((h, zr, c, hc))
-                hs[t] = h = new
-            flat, yf = hs.reshape(-1, k), ys.reshape(-1)
-            scale = np.float32(1 / len(yf))
-            cls = self.class_of[yf]
-            a = flat @ p["wc"] + p["bc"]
-            a -= a.max(1, keepdims=True)
-            ex = np.exp(a)
-            prob = ex / ex.sum(1, keepdims=True)
-            total -= float(np.log(prob[np.arange(len(yf)), cls] + 1e-30).sum())
-            prob[np.arange(len(yf)), cls] -= 1
-            prob *= scale
-            grad = {"wc": flat.T @ prob, "bc": prob.sum(0)}
-            dh_out = prob @ p["wc"].T
-            order = np.argsort(cls, kind="stable")
-            cuts = np.searchsorted(cls[order], np.arange(len(self.members) + 1))
-            for c, m in enumerate(self.members):
-                rows = order[cuts[c] : cuts[c + 1]]
-                if not len(rows) or len(m) < 2:
-                    continue
-                w, hr = p["wk"][m], flat[rows]
-                a = hr @ w.T + p["bk"][m]
-                a -= a.max(1, keepdims=True)
-                ex = np.exp(a)
-                pr = ex / ex.sum(1, keepdims=True)
-                at = self.place[yf[rows]]
-                total -= float(np.log(pr[np.arange(len(rows)), at] + 1e-30).sum())
-                pr[np.arange(len(rows)), at] -= 1
-                pr *= scale
-                dh_out[rows] += pr @ w
-                dw, db = pr.T @ hr, pr.sum(0)
-                g2["wk"][m] += (dw * dw).mean(1, keepdims=True)
-                p["wk"][m] = w - rate * dw / np.sqrt(g2["wk"][m])
-                g2["bk"][m] += db * db
-                p["bk"][m] -= rate * db / np.sqrt(g2["bk"][m])
-            dh_out = dh_out.reshape(n, streams, k)
-            dgx, dh, duh = np.empty_like(gx), np.zeros((streams, k), np.float32), np.zeros_like(p["uh"])
+                np.multiply(h, keep[t], out=h0[t])
+                h = self.step(gx[:, t], h0[t], uh, hu[:, t], zr[:, t], c[t], hs[t])
+            yf = ys.reshape(-1)
+            scale, rows, cls = np.float32(1 / len(yf)), np.arange(len(yf)), self.class_of[yf]
+            order, ones, classes, places = self.by_class(wide(hs), yf, cls)
+            flat, cls, dh_out = ones[:, :-1], cls[order], np.empty((len(yf), k), np.float32)
+            grad = {"wc": np.zeros_like(p["wc"]), "bc": np.zeros_like(p["bc"])}
+            for i in range(0, len(yf), PIECE):
+                h1, cls1 = flat[i : i + PIECE], cls[i : i + PIECE]
+                prob, sums, logs = softmax(lambda: h1 @ p["wc"] + p["bc"], cls1)  # noqa: B023
+                total -= float(logs.sum())
+                prob *= (scale / sums)[:, None]
+                prob[rows[: len(cls1)], cls1] -= scale
+                grad["wc"] += h1.T @ prob
+                grad["bc"] += np.ones(len(prob), np.float32) @ prob
+                np.matmul(prob, p["wc"].T, out=dh_out[i : i + PIECE])
+            if classes:
+
+                def logits():
+                    a = np.empty((len(places), words.shape[1]), np.float32)  # noqa: B023
+                    for c_, i, j in classes:  # noqa: B023
+                        np.matmul(ones[i:j], words[c_].T, out=a[i:j])  # noqa: B023
+                    return a
+
+                prob, sums, logs = softmax(logits, places)
+                total -= float(logs.sum())
+                prob *= (scale / sums)[:, None]
+                prob[rows[: len(places)], places] -= scale
+                slopes[:] = 0
+                for c_, i, j in classes:
+                    dh_out[i:j] += prob[i:j] @ words[c_, :, :-1]
+                    np.matmul(prob[i:j].T, ones[i:j], out=slopes[c_])
+                dw, db = slopes[:, :, :-1], slopes[:, :, -1]
+                of_words += np.einsum("cwk,cwk->cw", dw, dw) / np.float32(k)
+                of_biases += db * db
+                slopes[:, :, :-1] *= (rate / np.sqrt(of_words))[:, :, None]
+                slopes[:, :, -1] *= rate / np.sqrt(of_biases)
+                words -= slopes
+            unsorted = np.empty_like(dh_out)
+            unsorted[order] = dh_out
+            z, r = zr
+            dc = (1 - z) * (1 - c * c)
+            np.multiply(h0 - c, z * (1 - z), out=slope[0])
+            np.multiply(dc, r, out=slope[2])
+            np.multiply(slope[2], hu[2] * (1 - r), out=slope[1])
+            dh_out, dh, back = unsorted.reshape(n, streams, k), np.zeros((streams, k), np.float32), np.ascontiguousarray(self.gates("uh").transpose(0, 2, 1))
             for t in range(n - 1, -1, -1):
-                h0, zr, c, hc = saved[t]
-                z, r = zr[:, :k], zr[:, k:]
-                dh = dh + dh_out[t]
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (h0 - c) * z * (1 - z)
-                dr = dc * hc * r * (1 - r)
-                dgx[t, :, :k], dgx[t, :, k : 2 * k], dgx[t, :, 2 * k :] = dz, dr, dc
-                du = np.concatenate([dz, dr, dc * r], 1)
-                duh += h0.T @ du
-                dh = (dh * z + du @ p["uh"].T) * keep[t]
-            d2 = dgx.reshape(-1, 3 * k)
-            grad |= {"uh": duh, "wx": e.reshape(-1, e.shape[2]).T @ d2, "b": d2.sum(0)}
-            de = d2 @ p["wx"].T
+                dh += dh_out[t]
+                dhs[t] = dh
+                np.multiply(dh, slope[:, t], out=du[:, t])
+                b = np.matmul(du[:, t], back)
+                dh *= z[t]
+                for gate in b:
+                    dh += gate
+                dh *= keep[t]
+            grad["uh"] = np.matmul(wide(h0).T, wide(du))
+            np.multiply(dhs, dc, out=du[2])
+            d2 = wide(du)
+            grad |= {"wx": np.matmul(e.T, d2), "b": np.matmul(np.ones(len(yf), np.float32), d2).reshape(-1)}
+            grad |= {name: grad[name].transpose(1, 0, 2).reshape(-1, 3 * k) for name in ("uh", "wx")}
+            de = d2[0] @ wx[0].T
+            for gate in (1, 2):
+                de += d2[gate] @ wx[gate].T
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             for name, g in grad.items():
@@ -227,46 +298,42 @@ class Network:
                 g2[name] += g * g
                 p[name] -= rate * g / np.sqrt(g2[name])
             ids = xs.reshape(-1)
+            ids = ids.astype(np.int16) if len(p["emb"]) < 1 << 15 else ids
             order = np.argsort(ids, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-            rows, de = ids[order][first], np.add.reduceat(de[order], first, axis=0) * clip
+            rows, de = ids[order][first], np.add.reduceat(de.take(order, 0), first, axis=0) * clip
             g2["emb"][rows] += (de * de).mean(1, keepdims=True)
             p["emb"][rows] -= rate * de / np.sqrt(g2["emb"][rows])
+        p["wk"], p["bk"] = words[known][:, :-1].copy(), words[known][:, -1].copy()
+        g2["wk"][:, 0], g2["bk"][:] = of_words[known], of_biases[known]
         return total / (streams * steps)
 
     def score(self, docs: list[np.ndarray], hold: int = 16_384) -> np.ndarray:
         """Natural log probability of each sequence of ids (ends included), states carried over whole documents."""
         out = np.zeros(len(docs))
-        if not docs:
-            return out
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        lengths = np.array([len(docs[i]) for i in order])
-        start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        ids = np.concatenate([docs[i] for i in order])
-        table_ = self.p["emb"] @ self.p["wx"] + self.p["b"]
-        h = np.zeros((len(docs), self.hidden), np.float32)
-        x = np.full(len(docs), self.soft)
-        held, sums = [], np.zeros(len(docs))
-
-        def flush():
-            hs, ys, who = (np.concatenate(v) for v in zip(*held, strict=True))
-            sums[:] += np.bincount(who, self.log_probs(hs, ys), len(sums))
-            held.clear()
-
-        size, active, places = 0, len(docs), np.arange(len(docs))
-        for t in range(int(lengths[0])):
-            while lengths[active - 1] <= t:
-                active -= 1
-            y = ids[start[:active] + t]
-            h, *_ = self.step(table_[x[:active]], h[:active])
-            held.append((h, y, places[:active]))
-            x, size = y, size + active
-            if size >= hold:
-                flush()
-                size = 0
-        if held:
-            flush()
-        out[order] = sums
+        sign = np.array([-1, -1, 1], np.float32)[:, None, None]
+        table_ = np.matmul(self.p["emb"], self.gates("wx", signed=True)) + self.p["b"].reshape(3, 1, -1) * sign
+        uh, words = self.gates("uh", signed=True), self.words()
+        by_length = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        for first in range(0, len(docs), PIECE):
+            order = by_length[first : first + PIECE]
+            lengths = np.array([len(docs[i]) for i in order])
+            start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            ids = np.concatenate([docs[i] for i in order])
+            h, x = np.zeros((len(order), self.hidden), np.float32), np.full(len(order), self.soft)
+            held, sums, size, active, places = [], np.zeros(len(order)), 0, len(order), np.arange(len(order))
+            for t in range(int(lengths[0])):
+                while lengths[active - 1] <= t:
+                    active -= 1
+                y = ids[start[:active] + t]
+                h = self.step(table_.take(x[:active], 1), h[:active], uh)
+                held.append((h, y, places[:active]))
+                x, size = y, size + active
+                if size >= hold or t + 1 == lengths[0]:
+                    hs, ys, who = (np.concatenate(v) for v in zip(*held, strict=True))
+                    sums += np.bincount(who, self.log_probs(hs, ys, words), len(sums))
+                    held, size = [], 0
+            out[order] = sums
         return out
 
 
@@ -409,33 +476,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         del words.place, words.net, words.tail
     start = net.flat()
 
-    def train_part(batches):
-        import pyarrow as pa
-
-        own, schema, total, who = None, pa.schema([("part", pa.int64()), ("at", pa.int32()), ("w", pa.list_(pa.float32())), ("tokens", pa.float64())]), 0, 0
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            who = who or (len(texts) * 2654435761 + sum(len(t or "") for t in texts)) % (1 << 40)
-            if own is None:
-                own = words.start()
-            for i in range(0, len(texts), 1000):
-                y = own.ids(texts[i : i + 1000])
-                net.train(y, o["streams"], o["window"], 0.03)
-                total += len(y)
-        if total:
-            flat = net.flat()
-            at = list(range(0, len(flat), BLOCK))
-            yield pa.RecordBatch.from_arrays([pa.array([who] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([flat[i : i + BLOCK] for i in at], pa.list_(pa.float32())), pa.array([float(total)] * len(at))], schema=schema)
-
-    parts = durable(training.select("text").mapInArrow(train_part, "part long, at int, w array<float>, tokens double"), "weights")
-    flat, _ = average(parts, len(start))
-    if flat is not None:
-        net.load(flat)
-
     unit = float(n + v + 1) if n else 1.0
     ln10 = np.log(10)
+    kind = np.dtype("<u2" if len(soft) + 1 + o["rare"] < 1 << 16 else "<i4")
 
-    def make():
+    def encode():
         own = words.start()
         slot = np.log10(in_class)
         log_c = np.log10(np.fromiter(lookup.values(), np.float64, len(lookup)) + 1)
@@ -444,35 +489,66 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         unseen, end_base = float(np.log10(unit)), float(np.log10((ends + 1) / unit))
 
         def each(ids, hashes, held, texts):
-            n_tokens, n_known, bases, scores, tails, times, waiting, size = [], [], [], [], [], [], [], 0
-            for at in range(0, len(texts), 200):  # words live for 200 documents at a time; of the others only ids are kept
-                docs = [words_of(t) for t in texts[at : at + 200]]
-                for y, p, t in own.encode(docs):
+            n_tokens, n_known, bases, scores, tails, times, net_ids = [], [], [], [], [], [], []
+            for at in range(0, len(texts), 200):  # words live for 200 documents at a time
+                for y, p, t in own.encode([words_of(t) for t in texts[at : at + 200]]):
                     p = p[p >= 0]
                     base, known, s = float(base_of[p].sum()) + end_base, len(p) + (ends > 0), float(model_of[p].sum())
                     tail = Counter(t)
                     if t:
                         base -= len(t) * unseen
                         s -= float(slot[y[:-1][y[:-1] > len(soft)] - len(soft) - 1].sum() - slot[own.net[p[p >= len(soft)]] - len(soft) - 1].sum())
-                    for col, x in zip((n_tokens, n_known, bases, scores, tails, times, waiting), (len(y), known, base, s, list(tail), list(tail.values()), y), strict=True):
+                    for col, x in zip((n_tokens, n_known, bases, scores, tails, times, net_ids), (len(y), known, base, s, list(tail), list(tail.values()), y.astype(kind).tobytes()), strict=True):
                         col.append(x)
-                    size += len(y)
-                if size > 3_000_000 or at + 200 >= len(texts):
-                    done = net.score(waiting) / ln10
-                    for i, x in enumerate(done, len(scores) - len(done)):
-                        scores[i] += x
-                    waiting, size = [], 0
-            return [ids, hashes, held, n_tokens, n_known, bases, scores, tails, times]
+            return [ids, hashes, held, n_tokens, n_known, bases, scores, tails, times, net_ids]
 
         return each
 
     cols = rows.select("id", F.xxhash64("text").alias("hash"), "held_out", "text")
-    told = durable(map_batches(cols, "id long, hash long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<binary>, times array<int>", make), "scores")
+    known = "id long, hash long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    coded = durable(map_batches(cols, f"{known}, tail array<binary>, times array<int>, ids binary", encode), "ids")
+
+    def train_part(batches):
+        import pyarrow as pa
+
+        schema, total, who = pa.schema([("part", pa.int64()), ("at", pa.int32()), ("w", pa.list_(pa.float32())), ("tokens", pa.float64())]), 0, 0
+        for b in batches:
+            docs = b.column(0).to_pylist()
+            who = who or (len(docs) * 2654435761 + sum(map(len, docs))) % (1 << 40)
+            for i in range(0, len(docs), 1000):
+                y = np.frombuffer(b"".join(docs[i : i + 1000]), kind).astype(np.int64)
+                net.train(y, o["streams"], o["window"], 0.03)
+                total += len(y)
+        if total:
+            flat = net.flat()
+            at = list(range(0, len(flat), BLOCK))
+            yield pa.RecordBatch.from_arrays([pa.array([who] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([flat[i : i + BLOCK] for i in at], pa.list_(pa.float32())), pa.array([float(total)] * len(at))], schema=schema)
+
+    parts = durable(coded.where(~F.col("held_out")).select("ids").mapInArrow(train_part, "part long, at int, w array<float>, tokens double"), "weights")
+    flat, _ = average(parts, len(start))
+    if flat is not None:
+        net.load(flat)
+
+    def score():
+        def each(*cols):
+            *cols, scores, docs = cols
+            done, first, size = list(scores), 0, 0
+            for at, doc in enumerate(docs, 1):
+                size += len(doc) // kind.itemsize
+                if size > 3_000_000 or at == len(docs):
+                    logs = net.score([np.frombuffer(x, kind).astype(np.int32) for x in docs[first:at]]) / ln10
+                    done[first:at] = [s + float(x) for s, x in zip(done[first:at], logs, strict=True)]
+                    first, size = at, 0
+            return [*cols, done]
+
+        return each
+
+    told = durable(map_batches(coded.drop("tail", "times"), known, score), "scores")
     # words beyond the lookup: their log10(c + 1) counts for base and score alike; a document's share is added up by its key
-    tail = told.where(F.size("tail") > 0).dropDuplicates(["id", "hash"]).select("id", "hash", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("id", "hash", F.col("t.tail").alias("word"), F.col("t.times").alias("k"))
+    tail = coded.where(F.size("tail") > 0).dropDuplicates(["id", "hash"]).select("id", "hash", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("id", "hash", F.col("t.tail").alias("word"), F.col("t.times").alias("k"))
     more = tail.join(counts, "word").groupBy("id", "hash").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"))
     more = durable(more.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "k", "more"), "tails")
-    out = told.drop("tail", "times").join(more, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    out = told.join(more, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
     add = F.coalesce("more", F.lit(0.0))
     return out.select(
         "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),

@@ -142,6 +142,27 @@ def test_every_training_token_reaches_the_network(docs, monkeypatch):
     assert seen[0][1] == row.train_tokens
 
 
+def test_training_and_scoring_read_ids_not_texts(docs, monkeypatch):
+    """Words are split for the counts and for the ids, not once more for each use of the network."""
+    plans, durable = {}, lm.durable
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return durable(df, name)
+
+    monkeypatch.setattr(lm, "durable", kept)
+    assert score_documents(docs(*corpus(4, 60)), **SMALL).count() == 60
+    assert "text" in plans["counts"] and "text" in plans["ids"]
+    assert "text" not in plans["weights"] and "text" not in plans["scores"]
+
+
+def test_softmax_beyond_the_range_of_float32():
+    a = np.array([[300.0, 299, 0], [-300, -301, -400], [1, 2, 3]], np.float32)
+    ex, sums, logs = lm.softmax(a.copy, np.array([1, 0, 2]))
+    want = a.astype(np.float64) - np.logaddexp.reduce(a.astype(np.float64), axis=1)[:, None]
+    assert np.allclose(logs, want[[0, 1, 2], [1, 0, 2]], atol=1e-5) and np.allclose(ex / sums[:, None], np.exp(want), atol=1e-6)
+
+
 def test_clashing_columns_change_nothing(docs):
     d = docs(*corpus(4, 60))
     clash = d.selectExpr("*", "1 AS id", "'x' AS hash", "2 AS h", "true AS held_out", "3 AS word", "4 AS c")
