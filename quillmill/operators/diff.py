@@ -13,26 +13,35 @@ Lines of one pair are compared by 64-bit hashes. A null text counts as an empty
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import let, text_of
 from quillmill.sources.tables import checkpointed, dropped
 
-ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"  # fixed values: the signs that end a line
+LONE = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"  # fixed values: the signs besides \n that end a line
+ENDS = f"\r\n|[\n{LONE}]"
 GRAMS = (8, 2)
 ROUNDS_A_WRITE = 8
+RUNS_A_TASK = 20_000  # a round sorts its runs, which costs far more than their bytes tell
 KEY = ["pair", "lo_a", "lo_b"]  # a region is named by its pair and where it begins
 HOME = ["pair", "of_a", "of_b"]  # the region of a run when its gram was joined; rounds make regions within it
 # Fixed value: the mark for lines left out between two changes.
 LEFT_OUT = "... 省略 %d 行未变更内容 ..."
 
 
+def parts_of(text: Column) -> Column:
+    """A text split at every end of a line; null for null."""
+    other = reduce(or_, (text.contains(sign) for sign in LONE))  # a pattern is slow to look for, so most texts meet none
+    return F.when(other, F.split(text, ENDS)).otherwise(F.split(text, "\n"))
+
+
 def lines_of(text: str | Column) -> Column:
     """The lines of a text; one that ends with a line's end has no empty line behind it."""
-    t = text_of(text)
-    parts = F.when(t.rlike(ENDS.replace("\r\n|[\n", "[")), F.split(t, ENDS)).otherwise(F.split(t, "\n"))  # a lone sign is split without a pattern
-    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+    return let(parts_of(text_of(text)), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
 
 
 def _runs(regions: DataFrame, gram: int) -> DataFrame:
@@ -96,25 +105,34 @@ def _singles(regions: DataFrame) -> DataFrame:
     return both.select("pair", (F.col("lo_a") + F.col("m.i")).alias("i"), (F.col("lo_b") + F.col("m.j")).alias("j"), F.lit(1).alias("n"))
 
 
+def hashed(lines: str | Column) -> Column:
+    return F.transform(lines, lambda x: F.xxhash64(x))
+
+
 def matching_blocks(pairs: DataFrame, grams: tuple[int, ...] = GRAMS) -> DataFrame:
     """pair, i, j, n for pairs of pair (a name of its own for each), a and b (arrays of lines): line i + k of a equals
     line j + k of b for k below n."""
-    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
-    regions = pairs.select("pair", F.lit(0).alias("lo_a"), F.lit(0).alias("lo_b"), hashed("a").alias("a"), hashed("b").alias("b"))
-    regions, found = checkpointed(regions, "regions"), []
+    return _blocks(checkpointed(pairs.select("pair", hashed("a").alias("a"), hashed("b").alias("b")), "regions"), grams)
+
+
+def _blocks(pairs: DataFrame, grams: tuple[int, ...]) -> DataFrame:
+    """The same for a table of hashed lines that has been written."""
+    whole = pairs.select("pair", F.lit(0).alias("lo_a"), F.lit(0).alias("lo_b"), "a", "b")
+    regions, found = whole, []
     for gram in grams:
         runs = _runs(regions.where(F.arrays_overlap("a", "b")), gram).withColumns({"of_a": F.col("lo_a"), "of_b": F.col("lo_b"), "taken": F.lit(False)})
         open_ = checkpointed(runs.select(*HOME, "taken", "lo_a", "lo_b", "i", "j", "n"), "runs")
         taken = open_.where("taken")
-        while not open_.isEmpty():
-            later = open_.repartition("pair")  # a round's windows are within pairs, so all rounds are one shuffle
+        while rows := open_.count():
+            later = open_.repartition(-(-rows // RUNS_A_TASK), "pair")  # a round's windows are within pairs, so all rounds are one shuffle
             for _ in range(ROUNDS_A_WRITE):
                 later = _round(later, gram)
             later = checkpointed(later, "runs")
             taken, open_ = taken.union(later.where("taken")), later.where("not taken")
         found.append(taken.select("pair", "i", "j", "n"))
         left = checkpointed(_gaps(regions, taken), "regions")
-        dropped(regions)
+        if regions is not whole:
+            dropped(regions)
         regions = left
     found.append(_singles(regions))
     out = found[0]
@@ -124,13 +142,13 @@ def matching_blocks(pairs: DataFrame, grams: tuple[int, ...] = GRAMS) -> DataFra
 
 
 def blocks_by_pair(pairs: DataFrame, grams: tuple[int, ...] = GRAMS) -> DataFrame:
-    """pair and blocks: its matching blocks in order."""
-    return matching_blocks(pairs, grams).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("i", "j", "n"))).alias("blocks"))
+    """pair and blocks, its matching blocks in order: of a table of hashed lines that has been written."""
+    return _blocks(pairs, grams).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("i", "j", "n"))).alias("blocks"))
 
 
-def _told(a: Column, b: Column, blocks: Column, context: int, most: int) -> tuple[dict[str, Column], Column]:
-    """The report of one pair from its blocks: its counts, and what is shown of the texts."""
-    whole_a, whole_b = F.size(a), F.size(b)
+def _told(whole_a: Column, whole_b: Column, blocks: Column, context: int, a: Column | None, b: Column | None, most: int) -> tuple[dict[str, Column], Column | None]:
+    """The report of one pair from its numbers of lines and its blocks: its counts, and, where lines are given, what is
+    shown of the texts."""
     stops = F.concat(blocks, F.array(F.struct(whole_a.alias("i"), whole_b.alias("j"), F.lit(0).alias("n"))))
     took = F.aggregate(blocks, F.lit(0), lambda s, x: s + x["n"])
     begins = lambda s: (s["i"] == 0) & (s["j"] == 0)  # noqa: E731  nothing has changed before it
@@ -153,27 +171,36 @@ def _told(a: Column, b: Column, blocks: Column, context: int, most: int) -> tupl
         return F.concat(signed("-", a, i, s["i"] - i), signed("+", b, j, s["j"] - j), F.when(s["n"] > 0, same).otherwise(F.array().cast("array<string>")))
 
     hidden = F.aggregate(blocks, F.lit(0), lambda acc, s: acc + sides(s)[2])
-    text = F.array_join(F.flatten(let(stops, lambda every: F.transform(every, lambda s, k: piece(s, F.get(every, k - 1))))), "\n")
+    text = None if a is None else F.array_join(F.flatten(let(stops, lambda every: F.transform(every, lambda s, k: piece(s, F.get(every, k - 1))))), "\n")
 
     counts = {
         "lines_a": whole_a, "lines_b": whole_b, "additions": whole_b - took, "deletions": whole_a - took, "unchanged": took, "elided": hidden,
         "similarity": F.when(whole_a + whole_b > 0, F.round(2 * took / (whole_a + whole_b + F.lit(1e-9)), 3)).otherwise(F.lit(1.0)), "blocks": blocks,
     }
-    shown = let(text, lambda whole: F.struct(F.substring(whole, 1, most).alias("preview"), (F.length(whole) + 1 > most).alias("truncated"), F.length(whole).alias("total_chars")))
+    shown = None if a is None else let(text, lambda whole: F.struct(F.substring(whole, 1, most).alias("preview"), (F.length(whole) + 1 > most).alias("truncated"), F.length(whole).alias("total_chars")))
     return counts, shown
 
 
-def diff(df: DataFrame, a: str = "a", b: str = "b", context: int = 3, most: int = 12_000) -> DataFrame:
+def diff(df: DataFrame, a: str = "a", b: str = "b", context: int = 3, most: int = 12_000, preview: bool = True) -> DataFrame:
     """df with a struct column diff: numbers of lines, of additions, deletions, unchanged and elided lines, similarity (3
     places; 1.0 for two empty texts), a preview (changed lines, `context` equal lines beside them, a mark for those left
-    out between two changes; `most` characters), whether it is truncated, the length of the whole of it, and the matching blocks."""
-    keyed = checkpointed(df.select(F.monotonically_increasing_id().alias("pair"), F.struct("*").alias("row")), "pairs")
-    pairs = keyed.select("pair", lines_of(F.col(f"row.{a}")).alias("a"), lines_of(F.col(f"row.{b}")).alias("b"))
-    told = keyed.join(blocks_by_pair(pairs), "pair", "left").select("row", lines_of(F.col(f"row.{a}")).alias("a"), lines_of(F.col(f"row.{b}")).alias("b"), F.coalesce("blocks", F.array().cast("array<struct<i:int,j:int,n:int>>")).alias("blocks"))
-    counts, shown = _told(F.col("a"), F.col("b"), F.col("blocks"), context, most)
-    told = told.select("row", shown.alias("shown"), *(c.alias(n) for n, c in counts.items()))  # columns of their own: a query without the preview doesn't make it
-    fields = ("lines_a", "lines_b", "additions", "deletions", "unchanged", "elided", "similarity", "shown.preview", "shown.truncated", "shown.total_chars", "blocks")
-    return told.select("row.*", F.struct(*fields).alias("diff"))
+    out between two changes; `most` characters), whether it is truncated, the length of the whole of it, and the matching
+    blocks. Without preview these three are left out of diff, and a and b of df: then texts are split where they are
+    read, and only hashes of their lines are written."""
+    rest = [F.col(f"`{c}`") for c in df.columns if preview or c not in (a, b)]
+    row = F.struct(*rest) if rest else F.struct(F.lit(None).cast("int").alias("nothing"))
+    keyed = df.select(F.monotonically_increasing_id().alias("pair"), row.alias("row"), hashed(lines_of(F.col(f"`{a}`"))).alias("a"), hashed(lines_of(F.col(f"`{b}`"))).alias("b"))
+    keyed = checkpointed(keyed, "pairs")
+    told = keyed.select("pair", "row", F.size("a").alias("lines_a"), F.size("b").alias("lines_b")).join(blocks_by_pair(keyed.select("pair", "a", "b")), "pair", "left")
+    told = told.withColumn("blocks", F.coalesce("blocks", F.array().cast("array<struct<i:int,j:int,n:int>>")))
+    if preview:
+        told = told.withColumns({"a": lines_of(F.col(f"row.`{a}`")), "b": lines_of(F.col(f"row.`{b}`"))})
+    texts = (F.col("a"), F.col("b")) if preview else (None, None)
+    counts, shown = _told(F.col("lines_a"), F.col("lines_b"), F.col("blocks"), context, *texts, most)
+    told = told.select("row", *([shown.alias("shown")] if preview else []), *(c.alias(n) for n, c in counts.items()))  # columns of their own: a query without the preview doesn't make it
+    of_texts = ("shown.preview", "shown.truncated", "shown.total_chars") if preview else ()
+    fields = ("lines_a", "lines_b", "additions", "deletions", "unchanged", "elided", "similarity", *of_texts, "blocks")
+    return told.select(*(["row.*"] if rest else []), F.struct(*fields).alias("diff"))
 
 
 def opcodes(blocks: Column, lines_a: Column, lines_b: Column) -> Column:

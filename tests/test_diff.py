@@ -86,6 +86,37 @@ def test_rows_columns_and_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_without_preview_texts_are_not_written(spark, monkeypatch):
+    """Counts and blocks are the same, from hashes of lines alone; a text is split where it is read."""
+    written, kept = [], diff.checkpointed
+    monkeypatch.setattr(diff, "checkpointed", lambda df, name="table": written.append((name, df.schema.simpleString())) or kept(df, name))
+    pairs = CASES + list(random_pairs(5, 12))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "n int, a string, b string")
+    out = diff.diff(df, preview=False)
+    assert out.columns == ["n", "diff"] and all("string" not in schema for _, schema in written)
+    fields = ["lines_a", "lines_b", "additions", "deletions", "unchanged", "elided", "similarity", "blocks"]
+    rows = lambda d: {r.n: tuple(r["diff"][f] for f in fields) for r in d.collect()}
+    assert rows(out) == rows(diff.diff(df))
+    assert diff.diff(df.select("a", "b"), preview=False).columns == ["diff"]
+
+
+def test_rounds_are_split_by_rows(spark, monkeypatch):
+    """Runs weigh little and cost much, so adaptive execution by bytes would put them into one task."""
+    monkeypatch.setattr(diff, "RUNS_A_TASK", 5)
+    written, kept = [], diff.checkpointed
+    monkeypatch.setattr(diff, "checkpointed", lambda df, name="table": written.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df, name))
+    pairs = spark.createDataFrame([(i, "\n".join(f"{i} {k}" for k in range(9)), "\n".join(f"{i} {k}" for k in range(9))) for i in range(40)], "pair int, a string, b string")
+    assert diff.diff(pairs.select("a", "b")).agg(F.sum("diff.unchanged")).first()[0] == 360
+    assert any(name == "runs" and "RepartitionByExpression [pair" in plan and ", 8" in plan for name, plan in written)
+
+
+def test_all_ends_of_lines(spark):
+    texts = [f"a{end}b{end}" for end in ["\n", "\r\n", *diff.LONE]] + ["a\nb\x1cc\r\nd\re"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(diff.lines_of("t")).collect()] == [t.splitlines() for t in texts]
+    assert df.select(diff.parts_of(F.lit(None).cast("string"))).first()[0] is None
+
+
 def test_pairs(spark):
     f = spark.createDataFrame([("d/a.txt", 1.0), ("d/a.md", 3.0), ("d/A.html", 3.0), ("d/b.txt", 9.0)], "path string, mtime double")
     assert {(r.path_a, r.path_b) for r in diff.partners(f).collect()} == {("d/a.txt", "d/A.html"), ("d/a.md", "d/A.html"), ("d/A.html", "d/a.md")}
