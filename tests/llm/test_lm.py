@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmill.llm import lm
@@ -167,3 +168,58 @@ def test_clashing_columns_change_nothing(docs):
     d = docs(*corpus(4, 60))
     clash = d.selectExpr("*", "1 AS id", "'x' AS hash", "2 AS h", "true AS held_out", "3 AS word", "4 AS c")
     assert sorted(score_documents(clash, **SMALL).collect()) == sorted(score_documents(d, **SMALL).collect())
+
+
+def test_words_by_arrow_equal_words_of():
+    rng, signs = random.Random(6), " \t\n\r\x0b\x0c\x1c\x1d\x1f\x85\xa0\x00abABÉéİΣ𝒳"
+    texts = [None, "", " ", *("".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(500))]
+    for at in (0, 7):
+        words, n = lm.split(pa.array(texts, pa.string())[at:])
+        assert words.to_pylist() == [w for t in texts[at:] for w in words_of(t)] and n.tolist() == [len(words_of(t)) for t in texts[at:]]
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+    assert [t for part in lm.pieces(batch, batch.column(0)) for t in part.column(0).to_pylist()] == texts
+
+
+def test_spelling_does_not_depend_on_the_word_behind():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.choice([1, 2, 4, 60, 5000]))).encode() for _ in range(400)]
+    s = Spelling(np.random.default_rng(7).standard_normal((lm.TRIGRAMS, 16)).astype(np.float32))
+    assert s.of(words).tolist() == [int(s.of([w])[0]) for w in words]
+
+
+def test_sums_by_id():
+    rng = np.random.default_rng(8)
+    ids, values = rng.integers(0, 40, 90), rng.standard_normal((90, 5)).astype(np.float32)
+    want = np.zeros((40, 5))
+    np.add.at(want, ids, values)
+    rows, sums = lm.sums_by_id(ids, values, 40)
+    assert rows.tolist() == sorted(set(ids.tolist())) and np.allclose(sums, want[rows], atol=1e-5)
+
+
+def test_documents_that_share_a_lane_are_scored_apart(monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 3)
+    net, rng = network(), np.random.default_rng(1)
+    docs = [np.append(rng.integers(0, 5, n), 5) for n in (0, 30, 3, 11, 30, 1, 0, 90)]
+    assert np.allclose(net.score(docs, hold=7), [plain_score(net, d) for d in docs], atol=1e-4) and len(net.score([])) == 0
+
+
+def test_repeated_rows_are_told_apart_without_a_shuffle_of_their_words(docs, monkeypatch):
+    plans, durable = {}, lm.durable
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return durable(df, name)
+
+    monkeypatch.setattr(lm, "durable", kept)
+    rows = corpus(1, 60) * 2 + [(None, "ka1 rare"), (None, "ka1 rare")]
+    held, counts = brute(rows), Counter()
+    for i, t in rows:
+        if not held[i][0]:
+            counts.update([*words_of(t), None])
+    n, v = sum(counts.values()), len(counts)
+    got = score_documents(docs(*rows), lookup_words=10, **SMALL).collect()
+    assert len(got) == len(rows) and plans["tails"].count("Aggregate") == 1
+    for r in got:
+        tokens = [*words_of(dict(rows)[r.id]), None]
+        assert r.n_known == sum(counts[w] > 0 for w in tokens)
+        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens), rel_tol=1e-9)
