@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.operators.detect import detect
+from quillmill.operators.detect import detect, told
 from quillmill.schema import ERROR, FILE_TYPE, PAGE
 from quillmill.sources.parsers import binary, packages, texts
 
@@ -50,12 +50,13 @@ def parse_one(content: bytes | None, fmt: str, name: str, options: dict, parsers
     return pages, None
 
 
-def parse(sources: DataFrame, carry: tuple[str, ...] = (), **options) -> DataFrame:
+def parse(sources: DataFrame, carry: tuple[str, ...] = (), fmt: str | None = None, **options) -> DataFrame:
     """sources (path, name, mtime, length, content, error) with format, mime, confidence, file_type, pages and error, and
     the columns to carry along.
-    Detection is an expression; parsing is one Arrow pass over the rows, without a shuffle."""
+    Detection is an expression; parsing is one Arrow pass over the rows, without a shuffle. Where the format is known
+    beforehand (fmt), as for the texts of a column, nothing is detected: a text may be empty, or begin like a picture."""
     known = dict(PARSERS)
-    found = sources.withColumn("_d", detect("content", "name"))
+    found = sources.withColumn("_d", told(fmt, 1.0) if fmt else detect("content", "name"))
     types = F.create_map(*(F.lit(x) for pair in FILE_TYPE.items() for x in pair))
     found = found.select("path", "name", "mtime", "length", "content", F.col("error").alias("_error"), F.col("_d.format").alias("format"), F.col("_d.mime").alias("mime"), F.col("_d.confidence").alias("confidence"), *carry)
     found = found.withColumn("file_type", F.coalesce(F.try_element_at(types, F.col("format")), F.lit("unknown")))

@@ -158,3 +158,12 @@ def test_current_opens_the_files_that_are_named(spark, tmp_path):
     assert current(named, f"file://{tmp_path}")._jdf.queryExecution().toString().find("binaryFile") < 0  # no listing of the folder
     seen = current(named, str(tmp_path)).where("n = 1").first().out_mtime.timestamp()
     assert abs(seen - (tmp_path / "a.md").stat().st_mtime) < 1
+
+
+def test_texts_of_a_column_are_texts_whatever_they_begin_with(spark, tmp_path):
+    from quillmill.plans.catalogue import batch_run
+
+    texts = [None, "", " \n ", "BM is a firm", "%PDF in prose", "GIF89a is old", "PK\x03\x04", "Rar! said he", "RIFFxxxxWEBPyyyy", "II*\x00abc", '{"a": 1}', "<p>x</p> a", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.path, r.out, r.state) for r in batch_run(spark, str(tmp_path)).collect())
+    assert got == sorted((f"table:{i}.txt", f"table_{i}.md", "ok") for i in range(len(texts)))
