@@ -1,17 +1,19 @@
 """Hard negatives by a two-dimensional block matrix product (SUMMA-style).
 
 Vectors become whole numbers (floor(scale * x)). Anchors and rows are sharded into blocks of rows, and each block into
-chunks of dimensions. A block of anchors meets a block of rows once for each chunk; that product is a partial tile of
-scores. Partial tiles of one pair of blocks are shuffled together and added as int64, and the finished tile is reduced
-where it was added: only its best few rows for each anchor (and positive) leave it. The best of all tiles are chosen by a
-ranked window whose groups hold a few rows a tile, cut down before the shuffle.
+chunks of dimensions. Where a block of anchors meets a block of rows, all chunks of both come together, tile by tile: the
+product of one chunk is a partial tile of scores, partial tiles are added as int64 where they are made, and the finished
+tile is reduced there: only the best few rows of a block for each anchor (and positive) leave it. No score is shuffled.
+The best of all blocks are chosen by a ranked window whose groups hold a few rows a block.
 
 There are two such products. The first meets anchors with the rows that may have their label (blocks are made within
 groups of labels, by a hash of the label) and gives each anchor its positives: the highest scores of its label. The
 second meets anchors with all blocks and gives, for each anchor and positive, the highest scores among other labels that
 lie in the window from low to high percent of the positive's score. No score leaves a tile but those; a tile has
 tile_anchors x tile_rows scores however many rows there are, and a label that a third of all rows have is many blocks.
-The work is anchors x rows x dimensions, and partial tiles travel once for each chunk: that is what the method costs.
+The work is anchors x rows x dimensions: that is what the method costs. What is shuffled are blocks: rows once for each
+block of anchors (16 tiles' anchors at most), anchors once for each block of rows (16 tiles' rows at most, and fewer
+where there would be fewer than 64 blocks).
 
 Products are exact: whole numbers are multiplied as doubles only where their sums stay below 2^53, else as int64.
 
@@ -25,6 +27,8 @@ read, so others, whatever their names, don't matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,7 +40,8 @@ LARGEST = 1 << 24  # a component: sums of 2^14 products fit a long
 NONE = np.iinfo(np.int64).min
 GROUPS = 16  # of labels
 BLOCK = "block int, chunk int, rows binary, ids binary, labels binary, wanted binary, values binary, kind string"
-TILE = "a int, b int, chunk int, partial binary, kind string, rows binary, ids binary, labels binary, wanted binary, row_ids binary, row_labels binary"
+TILE = "chunk partial kind rows ids labels wanted row_ids row_labels".split()
+TILES_A_SIDE, LEAST_BLOCKS = 16, 64  # of a block; of rows
 
 
 def narrow(x: np.ndarray) -> np.ndarray:
@@ -92,24 +97,34 @@ def blocked(rows: DataFrame, block: Column, chunks: int, width: int) -> DataFram
     return durable(rows.withColumn("block", block.cast("int")).select("block", "row", "id", "label", "v", "wanted").groupBy("block").applyInPandas(run, BLOCK), "blocks")
 
 
-def tiles(anchors: DataFrame, rows: DataFrame, meets_rows: Column, meets_anchors: Column, width: int) -> DataFrame:
-    """Partial tiles. meets_rows and meets_anchors are arrays: the blocks that a block of the one side meets."""
+def tiles(anchors: DataFrame, rows: DataFrame, meets_rows: Column, meets_anchors: Column, width: int, tile: tuple[int, int], reduce: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: list[str], most: int) -> DataFrame:
+    """What reduce leaves of each tile (by schema), the best `most` of a pair of blocks for each of keys. meets_rows and
+    meets_anchors are arrays: the blocks that a block of the one side meets."""
     left = anchors.select("*", F.explode(meets_rows).alias("other"))
     right = rows.select("*", F.explode(meets_anchors).alias("other"))
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        a, b, chunk = key
-        names = [f.split()[0] for f in TILE.split(", ")]
-        if not len(x) or not len(y):
-            return pd.DataFrame([], columns=names)
-        x, y = x.iloc[0], y.iloc[0]
-        values = [np.frombuffer(s["values"], s["kind"]).reshape(-1, width) for s in (x, y)]
-        part = narrow(product(*values))
-        return pd.DataFrame([(a, b, chunk, part.tobytes(), part.dtype.str, x["rows"], x["ids"], x["labels"], x["wanted"], y["ids"], y["labels"])], columns=names)
-
-    left = left.withColumnsRenamed({"block": "a", "other": "b"}).groupBy("a", "b", "chunk")
-    right = right.withColumnsRenamed({"block": "b", "other": "a"}).groupBy("a", "b", "chunk")
-    return left.cogroup(right).applyInPandas(run, TILE)
+        out = []
+        if len(x) and len(y):
+            x, y = x.sort_values("chunk"), y.sort_values("chunk")
+            xs, ys = ([np.frombuffer(v, kind).reshape(-1, width) for v, kind in zip(s["values"], s["kind"], strict=True)] for s in (x, y))
+            of = [longs(x[c].iloc[0]).reshape(len(xs[0]), -1) for c in ("rows", "ids", "labels", "wanted")]
+            other = [longs(y[c].iloc[0]) for c in ("ids", "labels")]
+            for i in range(0, len(xs[0]), tile[0]):
+                found = []
+                for j in range(0, len(ys[0]), tile[1]):
+                    named = [c[i : i + tile[0]].tobytes() for c in of] + [c[j : j + tile[1]].tobytes() for c in other]
+                    partial = [narrow(product(p[i : i + tile[0]], q[j : j + tile[1]])) for p, q in zip(xs, ys, strict=True)]
+                    found.append(reduce(pd.DataFrame([(k, p.tobytes(), p.dtype.str, *named) for k, p in enumerate(partial)], columns=TILE)))
+                if found := [f for f in found if len(f)]:
+                    best_of = pd.concat(found).sort_values([*keys, "score", "id"], ascending=[*(True for _ in keys), False, True], kind="stable")
+                    out.append(best_of[best_of.groupby(keys).cumcount() < most])
+        return pd.concat(out) if out else pd.DataFrame([], columns=names)
+
+    left = left.withColumnsRenamed({"block": "a", "other": "b"}).groupBy("a", "b")
+    right = right.withColumnsRenamed({"block": "b", "other": "a"}).groupBy("a", "b")
+    return left.cogroup(right).applyInPandas(run, schema)
 
 
 def added(part: pd.DataFrame) -> tuple[np.ndarray, pd.Series]:
@@ -197,25 +212,27 @@ def mine(
     set_of = lambda first: F.size(F.filter(F.array(*map(F.lit, first[1:])), lambda x: x <= F.col("block")))
     span = lambda lo, hi: F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
 
-    row_first, n_rows = blocks_by_set("n", tile_rows)
-    anchor_first, _ = blocks_by_set("anchors", tile_anchors)
+    n, n_anchors = (sum(r[c] for r in held.values()) for c in ("n", "anchors"))
+    block_rows = min(max(tile_rows, -(-n // LEAST_BLOCKS)), TILES_A_SIDE * tile_rows)
+    block_anchors = TILES_A_SIDE * tile_anchors
+    tile = (tile_anchors, tile_rows)
+    row_first, n_rows = blocks_by_set("n", block_rows)
+    anchor_first, _ = blocks_by_set("anchors", block_anchors)
     row_blocks = blocked(rows, in_set(row_first), chunks, width)
 
     own = blocked(rows.where("anchor"), in_set(anchor_first), chunks, width)
     meet = lambda mine, other: span(at(other, set_of(mine)), at(other, set_of(mine) + 1))
-    found = tiles(own, row_blocks, meet(anchor_first, row_first), meet(row_first, anchor_first), width)
-    found = found.groupBy("a", "b").applyInPandas(lambda part: positives_of(part, positives), POSITIVES)
+    found = tiles(own, row_blocks, meet(anchor_first, row_first), meet(row_first, anchor_first), width, tile, lambda part: positives_of(part, positives), POSITIVES, ["row"], positives)
     found = durable(ranked(found, ["row"], positives), "positives")
 
     place = lambda k: F.struct(F.max(F.when(F.col("rank") == k, 1)).alias("h"), F.max(F.when(F.col("rank") == k, F.col("id"))).alias("i"), F.max(F.when(F.col("rank") == k, F.col("score"))).alias("s"))
     told = found.groupBy("row").agg(*(place(k + 1).alias(f"p{k}") for k in range(positives)))
     flat = F.array(*(F.coalesce(F.col(f"p{k}.{c}").cast("long"), F.lit(0).cast("long")) for k in range(positives) for c in "his"))
     asked = rows.where("anchor").join(told, "row").select("row", "id", "label", "v", "set", flat.alias("wanted"))
-    n_anchors = -(-sum(r["anchors"] for r in held.values()) // tile_anchors)
+    n_anchors = -(-n_anchors // block_anchors)
     asking = blocked(asked, F.pmod(salt, F.lit(n_anchors)), chunks, width)
     every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    hard = tiles(asking, row_blocks, every(n_rows), every(n_anchors), width)
-    hard = hard.groupBy("a", "b").applyInPandas(lambda part: negatives_of(part, positives, negatives, low, high), NEGATIVES)
+    hard = tiles(asking, row_blocks, every(n_rows), every(n_anchors), width, tile, lambda part: negatives_of(part, positives, negatives, low, high), NEGATIVES, ["row", "place"], negatives)
     hard = ranked(hard, ["row", "place"], negatives)
     return hard.select("row", "anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 

@@ -93,3 +93,14 @@ def test_partial_tiles_add_up():
     part = pd.DataFrame({"chunk": [1, 0], "partial": [np.array([[1, 2]], np.int16).tobytes(), np.array([[1 << 40, 5]], np.int64).tobytes()], "kind": ["<i2", "<i8"], "ids": [b"", longs(3)], "row_ids": [b"", longs(4, 5)]})
     total, head = added(part)
     assert total.tolist() == [[(1 << 40) + 1, 7]] and head["chunk"] == 0
+
+
+def test_scores_are_not_shuffled(spark):
+    """What joins pairs of blocks gives the best of each, so nothing as large as anchors x rows leaves its task."""
+    import io
+    from contextlib import redirect_stdout
+
+    rows = vectors(400)
+    with redirect_stdout(out := io.StringIO()):
+        mine(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, width=5, tile_anchors=2, tile_rows=37).explain()
+    assert "FlatMapCoGroupsInPandas" in out.getvalue() and "FlatMapGroupsInPandas" not in out.getvalue().replace("FlatMapCoGroupsInPandas", "")
