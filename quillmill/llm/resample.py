@@ -8,7 +8,8 @@ matrix with the vector of gains gives the documents' weights. Documents are then
 plus Gumbel noise, a fixed function of the id.
 
 Sizes: a block holds about `block_cells` cells or one document; a task adds up one vector of `buckets` sums, so what is
-shuffled or sent to the driver is bounded by tasks and buckets, not by documents; gains are one vector of `buckets`
+shuffled or sent to the driver is bounded by tasks and buckets, not by documents; a task holds TEXTS texts or
+BLOCKS_AT_ONCE blocks at once, however much it reads; gains are one vector of `buckets`
 whole numbers. Ranks come from a histogram of scores, which are whole numbers within the gains' range plus the noise's
 (the noise lies in -3,131..22,181): each score's first rank is the number of rows above it, and ties are ranked within
 one score, so no task sorts all documents. Noise depends on the id, so copies of one text spread over scores.
@@ -32,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import durable, table
+from quillmill.llm.common import batches_of, durable, table
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lowered UTF-8: bytes of other characters are never in a word
 BLOCKS = "ids array<long>, n_features array<long>, n_words array<long>, starts array<int>, buckets array<int>, counts array<int>"
+TEXTS, BLOCKS_AT_ONCE = 256, 8  # that a task holds at once, beside what it writes
+# A block is a row, so a writer that looks at its size every 100 rows would hold 100 blocks.
+WRITTEN = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
 REMEMBERED = 200_000  # features whose bucket a task remembers, to save hashing
 
 
@@ -81,7 +85,8 @@ def matrix(docs: DataFrame, buckets: int = 10_000, grams: tuple[int, int] = (1,
             yield block()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return durable(rows.mapInArrow(run, BLOCKS), "matrix")
+    with batches_of(docs.sparkSession, TEXTS):
+        return durable(rows.mapInArrow(run, BLOCKS), "matrix", **WRITTEN)
 
 
 def flat(batch: pa.RecordBatch, row: int, column: str) -> np.ndarray:
@@ -161,9 +166,11 @@ def resample(
     """id, n_features, weight, score, rank for each document; rows with a rank are the sample."""
     blocks = matrix(docs, buckets, grams, id_col, text_col)
     aim = matrix(target.select(F.lit(0).alias("id"), F.col(target_col).alias("text")), buckets, grams, "id", "text")
-    gain = gains(column_sums(blocks, buckets), column_sums(aim, buckets), buckets)
-    scored = weights(blocks, gain).withColumn("score", F.col("weight") + noise(F.col("id"), seed))
-    return draw(durable(scored, "scored"), F.col("n_words") >= least_words, percent).select("id", "n_features", "weight", "score", "rank")
+    with batches_of(docs.sparkSession, BLOCKS_AT_ONCE):
+        gain = gains(column_sums(blocks, buckets), column_sums(aim, buckets), buckets)
+        scored = weights(blocks, gain).withColumn("score", F.col("weight") + noise(F.col("id"), seed))
+        scored = durable(scored, "scored")
+    return draw(scored, F.col("n_words") >= least_words, percent).select("id", "n_features", "weight", "score", "rank")
 
 
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,12 @@ def test_odd_rows(spark, docs):
     assert {(r.id, r.rank) for r in alone} == {(1, 1), (2, None)}
     clash = docs(*d[1:]).withColumns({"id": F.lit("x"), "score": F.lit(1), "rank": F.lit(2), "weight": F.lit(3), "n_words": F.lit(4)})
     assert rows_of(resample(clash, target)) == rows_of(resample(docs(*d[1:]), target))
+
+
+def test_a_task_holds_few_texts_or_blocks_at_once(spark, docs, monkeypatch):
+    held, key = {}, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    monkeypatch.setattr(module, "durable", lambda df, name, made=module.durable, **o: held.setdefault(name, (int(spark.conf.get(key)), o)) and made(df, name, **o))
+    assert resample(docs(*corpus(40)), spark.createDataFrame([("river",)], "text string")).count() == 45
+    assert held["matrix"][0] <= 256 and int(held["matrix"][1]["parquet.block.size.row.check.min"]) == 1 and held["scored"][0] <= 8
+    assert spark.conf.get(key) == was
